@@ -213,3 +213,56 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
        sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (rid) LEFT JOIN named n USING (rid)
 """
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", length_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, sample: int = 8, pass_words: int = PASS_WORDS) -> DataFrame:
+    """The rows of docs, all columns, with the spans cut out of text_col (length_col, if there is one, follows).
+    A document of which the cuts leave no word goes; every other one stays. A benchmark of several passes is cut pass
+    by pass; an occurrence that overlaps an earlier cut is broken already."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.length("body"))).first()[0] or 0
+    passes = max(1, -(-size // (4 * pass_words)))
+    names, schema = docs.columns, docs.schema
+    lengths = length_col if length_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+        def flush(group: list[pa.RecordBatch], words: list[list[bytes]]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
+            starts, covered, found = shard_hits(words, held.value, sample)
+            hit = [k for k, items in enumerate(found) if items]
+            if not hit:
+                return whole
+            column = names.index(text_col)
+            texts, stays = whole.column(column).to_pylist(), np.ones(len(words), bool)
+            counts = whole.column(names.index(lengths)).to_pylist() if lengths else None
+            for k in hit:
+                texts[k] = cut(texts[k], spans_of(texts[k], covered[starts[k] : starts[k + 1]]))
+                stays[k] = not covered[starts[k] : starts[k + 1]].all()
+                if counts:
+                    counts[k] = len(texts[k])
+            arrays = list(whole.columns)
+            arrays[column] = pa.array(texts, whole.schema.field(column).type)
+            if counts:
+                at = names.index(lengths)
+                arrays[at] = pa.array(counts, whole.schema.field(at).type)
+            return pa.RecordBatch.from_arrays(arrays, schema=whole.schema).filter(pa.array(stays))
+
+        group, words, size = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                group.append(batch)
+                words += [words_of(t) for t in batch.column(names.index(text_col)).to_pylist()]
+                size += sum(map(len, words[-batch.num_rows :]))
+            if size >= SHARD_WORDS or len(words) >= 20_000:
+                yield flush(group, words)
+                group, words, size = [], [], 0
+        if group:
+            yield flush(group, words)
+
+    for k in range(passes):
+        block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
+        held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
+        docs = docs.mapInArrow(lambda batches, held=held: run(batches, held), schema)
+    return docs

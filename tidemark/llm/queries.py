@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, simhash
+from . import decontam, langid, mixing, simhash, tokenstore
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op5_language": langid.op5_language,
+    "op7_mix": mixing.op7_mix,
+    "op10_token_store": tokenstore.op10_token_store,
 }
 
 ORACLES = {
