@@ -20,8 +20,10 @@ sorts first; equal order values keep rows together, in the order of their conten
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -31,13 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, table
+from .common import LOWER, fresh_path, small_batches, table
 
 DIGEST = 16
 END_ID = 1
 #: Ids that the rolling hash covers; a cut is where its upper bits under MASK are 0.
 ROLL, MASK, LEAST, MOST = 16, 255, 64, 2048
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+_LONE_MARK = re.compile(r"(?<=[a-z])([,.])(?=[ \n])")
 
 
 def digest(data: bytes) -> bytes:
@@ -78,14 +81,22 @@ class Encoder:
     it, so pieces between blanks and line ends are encoded once by the library and then looked up; the table of pieces
     is emptied when it is full."""
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library, self.held, self.known = Tokenizer.from_file(path), held, {}
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """Blanks and line ends part pieces; so does a letter before a lone comma or full stop. The tokenizer lower-cases
+        all but its special tokens, so A-Z are lower-cased first where none can stand."""
+        if "<|" not in text:
+            text = text.encode().translate(LOWER).decode()
+        return _LONE_MARK.sub(r" \1 ", text).replace("\n", " ").split(" ")
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self.pieces(t or "") for t in texts]
         if len(self.known) > self.held:
             self.known.clear()
         new = [w for w in set().union(*split) if w not in self.known]
@@ -101,9 +112,11 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     the ROLL ids before it alone, so that equal passages of different documents fall into equal chunks."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * PRIME
     mixed ^= mixed >> np.uint64(29)
-    rolled = mixed.copy()
-    for k in range(1, min(ROLL, len(ids))):
-        rolled[k:] += mixed[:-k] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
+    rolled, span = mixed, 1
+    while span < ROLL:  # the sum over twice as many ids, from two sums
+        further = rolled.copy()
+        further[span:] += rolled[: max(0, len(ids) - span)] * np.uint64(pow(0xD6E8FEB86659FD93, span, 1 << 64))
+        rolled, span = further, 2 * span
     good = np.flatnonzero(((rolled >> np.uint64(40)) & np.uint64(MASK)) == 0) + 1
     bounds = np.searchsorted(good, starts)
     made = []
@@ -123,9 +136,15 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     return made
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder in a worker: the pieces known from one task serve the next."""
+    return Encoder(path)
+
+
 def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """In: doc_id, ord (order values), text. Out: kind 0, a recipe, or kind 1, a chunk that this task has not given yet."""
-    encoder, given = Encoder(path), set()
+    encoder, given = encoder_of(path), set()
     fields = [("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("ord1", pa.int64()), ("ord2", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("root", pa.binary())]
     schema = pa.schema(fields)
     end = np.array([END_ID], "<u4").tobytes()
