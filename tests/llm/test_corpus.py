@@ -126,8 +126,8 @@ def test_period_is_fair():
 
 
 def test_language(spark):
-    made = [(k, t, lang, "h.de", len(t), 1.0, "") for k, (t, lang) in enumerate([("die und der nicht ist", "de"), ("the and of with from", "en"), ("les des une avec dans", "fr"), ("los las una con para", "es")] * 20)]
-    made += [(900, "русский текст совсем другой", None, None, 1, 1.0, ""), (901, None, None, None, 1, 1.0, "")]
+    made = [(k, (t + " ") * 40, lang, "h.de", len(t), 1.0, "") for k, (t, lang) in enumerate([("die und der nicht ist", "de"), ("the and of with from", "en"), ("les des une avec dans", "fr"), ("los las una con para", "es")] * 20)]
+    made += [(900, "русский текст совсем другой " * 5, None, None, 1, 1.0, ""), (901, None, None, None, 1, 1.0, "")]
     got = {r.row_.doc_id: r for r in langid.identify(spark.createDataFrame(made, SCHEMA)).collect()}
     assert all(got[k].lang_ == made[k][2] and got[k].accepted_ for k in range(80))
     assert not got[900].accepted_

@@ -26,7 +26,7 @@ WINDOW = 10
 #: Words of benchmark text searched in one pass, so that what is broadcast stays under some 40 MB.
 PASS_WORDS = 2_000_000
 #: Words of a shard; bounds a worker's memory.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 
 SPAN = "struct<word_start:bigint,word_end:bigint,char_start:bigint,char_end:bigint>"
 SCHEMA = f"doc_id bigint, text_key bigint, n_words bigint, spans array<{SPAN}>, item_ids array<string>, clean_text string"

@@ -175,7 +175,7 @@ def similar_links(distinct: DataFrame, run: int = RUN, block: int = BLOCK) -> Da
     pieces = []
     for number, (first_bit, width) in enumerate(SEGMENTS):
         rest = [b for b in range(64) if not first_bit <= b < first_bit + width]
-        masks = [sum(1 << b for b in part) for part in np.array_split(rest, MOST_BITS + 1)]
+        masks = [sum(1 << int(b) for b in part) for part in np.array_split(rest, MOST_BITS + 1)]
         masks = [m - (1 << 64) if m >> 63 else m for m in masks]
         pieces.append((number, F.array(*(F.xxhash64("u", F.lit(k), F.col("v").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))))
     chosen = F.when(segment == 0, pieces[0][1]).when(segment == 1, pieces[1][1]).otherwise(pieces[2][1])

@@ -81,7 +81,7 @@ class Encoder:
     it, so pieces between blanks and line ends are encoded once by the library and then looked up; the table of pieces
     is emptied when it is full."""
 
-    def __init__(self, path: str, held: int = 300_000):
+    def __init__(self, path: str, held: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library, self.held, self.known = Tokenizer.from_file(path), held, {}
@@ -165,7 +165,7 @@ def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
                     name, last = digest(payload), stop
                     names.append(name)
                     if name not in given:
-                        if len(given) > 500_000:
+                        if len(given) > 100_000:
                             given.clear()
                         given.add(name)
                         rows.append((1, name, payload, None, None, None, None, None, None))
