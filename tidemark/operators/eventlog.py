@@ -53,3 +53,25 @@ def lww_state(events: DataFrame, reach: DataFrame) -> DataFrame:
     lost = reach.join(later, (reach.entity == later.entity) & (reach.event == later.by)).select(reach.entity, "property", F.col("ancestor").alias("event")).distinct()
     left = write.join(lost, ["entity", "property", "event"], "left_anti")
     return left.groupBy("entity", "property").agg(F.max("event").alias("event"), F.max_by("value", "event").alias("value"))
+
+
+def compare(pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """pairs: entity, subject, other (events). Adds verdict: equal, descends, ascends, diverged (a common ancestor) or disjoint."""
+    up = reach.select("entity", F.col("event").alias("subject"), F.col("ancestor").alias("other"), F.lit(True).alias("down"))
+    down = reach.select("entity", F.col("ancestor").alias("subject"), F.col("event").alias("other"), F.lit(True).alias("up"))
+    a = reach.select("entity", F.col("event").alias("subject"), F.col("ancestor"))
+    b = reach.select("entity", F.col("event").alias("other"), F.col("ancestor"))
+    open_ = pairs.join(up, ["entity", "subject", "other"], "left").join(down, ["entity", "subject", "other"], "left")
+    shared = open_.where("down IS NULL AND up IS NULL AND subject <> other").join(a, ["entity", "subject"]).join(b, ["entity", "other", "ancestor"], "left_semi").select("entity", "subject", "other").distinct().withColumn("meet", F.lit(True))
+    verdict = F.when(F.col("subject") == F.col("other"), "equal").when(F.col("down"), "descends").when(F.col("up"), "ascends").when(F.col("meet"), "diverged").otherwise("disjoint")
+    return open_.join(shared, ["entity", "subject", "other"], "left").select("entity", "subject", "other", verdict.alias("verdict"))
+
+
+def deltas(events: DataFrame, parents: DataFrame, reach: DataFrame, known: DataFrame) -> DataFrame:
+    """What a peer that knows one event of each entity (known: entity, event) must be sent: entity, kind, n_events.
+    current: nothing; bridge: the events that are neither known nor its ancestors; snapshot: it knows none."""
+    held = known.select("entity", "event").union(reach.join(known, ["entity", "event"], "left_semi").select("entity", F.col("ancestor").alias("event"))).distinct()
+    missing = events.select("entity", "event").join(held, ["entity", "event"], "left_anti").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    every = events.select("entity").distinct().join(known.select("entity", F.lit(True).alias("met")).distinct(), "entity", "left").join(missing, "entity", "left")
+    kind = F.when(F.col("met").isNull(), "snapshot").when(F.col("n").isNull(), "current").otherwise("bridge")
+    return every.select("entity", kind.alias("kind"), F.when(kind == "snapshot", F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_events"))

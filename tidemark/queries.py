@@ -156,3 +156,39 @@ _add("live_initial", lambda spark, d: live.initial(_states(spark, d)[1], "n > 60
 _add("live_changes", lambda spark, d: live.live_changes(*_states(spark, d), "n > 40", "user_id"), f"WITH b AS (SELECT * FROM {_BEFORE} WHERE n > 40), a AS (SELECT * FROM {_AFTER} WHERE n > 40) {_DIFF}")
 _add("live_gap_fill", lambda spark, d: live.live_changes(*_states(spark, d), "n < 70 ORDER BY n DESC LIMIT 20", "user_id"), f"WITH b AS (SELECT * FROM {_BEFORE} WHERE n < 70 ORDER BY n DESC, user_id LIMIT 20), a AS (SELECT * FROM {_AFTER} WHERE n < 70 ORDER BY n DESC, user_id LIMIT 20) {_DIFF}")
 _add("live_update_selection", lambda spark, d: live.live_changes(*(2 * [_states(spark, d)[1]]), "n > 60", "user_id", "n > 50 AND n < 70"), f"WITH b AS (SELECT * FROM {_AFTER} WHERE n > 60), a AS (SELECT * FROM {_AFTER} WHERE n > 50 AND n < 70) {_DIFF}")
+
+
+def _compared(spark, d):
+    events, parents = _log(spark, d)
+    pairs = events.select("entity", "event", F.lead("event").over(W.partitionBy("entity").orderBy("event")).alias("other")).where("other IS NOT NULL").select("entity", F.col("event").alias("subject"), "other")
+    return eventlog.compare(pairs, eventlog.ancestors(parents))
+
+
+_add("log_compare", _compared, _LOG + """, pairs AS (SELECT entity, event AS subject, lead(event) OVER (PARTITION BY entity ORDER BY event) AS other FROM rows_)
+SELECT entity, subject, other, CASE WHEN EXISTS (SELECT 1 FROM paths p WHERE p.entity = q.entity AND p.event = q.subject AND p.ancestor = q.other) THEN 'descends'
+  WHEN EXISTS (SELECT 1 FROM paths p WHERE p.entity = q.entity AND p.ancestor = q.subject AND p.event = q.other) THEN 'ascends'
+  WHEN EXISTS (SELECT 1 FROM paths p JOIN paths o ON o.entity = p.entity AND o.ancestor = p.ancestor WHERE p.entity = q.entity AND p.event = q.subject AND o.event = q.other) THEN 'diverged' ELSE 'disjoint' END AS verdict
+FROM pairs q WHERE other IS NOT NULL""")
+
+
+def _deltas(spark, d):
+    events, parents = _log(spark, d)
+    known = events.where("entity % 3 <> 0").groupBy("entity").agg(F.max("event").alias("event"))
+    return eventlog.deltas(events, parents, eventlog.ancestors(parents), known)
+
+
+_add("delta_snapshot_or_bridge", _deltas, _LOG + """, known AS (SELECT entity, max(event) AS event FROM rows_ WHERE entity % 3 <> 0 GROUP BY 1),
+held AS (SELECT * FROM known UNION SELECT p.entity, p.ancestor FROM paths p JOIN known k ON k.entity = p.entity AND k.event = p.event),
+missing AS (SELECT entity, count(*) AS n FROM (SELECT entity, event FROM rows_ EXCEPT SELECT entity, event FROM held) GROUP BY 1)
+SELECT e.entity, CASE WHEN k.entity IS NULL THEN 'snapshot' WHEN m.n IS NULL THEN 'current' ELSE 'bridge' END AS kind, CASE WHEN k.entity IS NULL THEN 0 ELSE coalesce(m.n, 0) END::BIGINT AS n_events
+FROM (SELECT DISTINCT entity FROM rows_) e LEFT JOIN known k USING (entity) LEFT JOIN missing m ON m.entity = e.entity""")
+
+
+def _casts(spark, d):
+    from tidemark.functions import casts
+
+    text = F.expr("CASE event_id % 5 WHEN 0 THEN ' 30 ' WHEN 1 THEN '30' WHEN 2 THEN 'abc' WHEN 3 THEN '99999999999' ELSE 'YES' END")
+    return table(spark, d, "events").select("event_id", casts.text_to_int(text).alias("i"), casts.text_to_int(text, "bigint").alias("l"), casts.text_to_bool(text).alias("b"))
+
+
+_add("cast_text", _casts, "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 30 END::INTEGER AS i, CASE event_id % 5 WHEN 1 THEN 30 WHEN 3 THEN 99999999999 END::BIGINT AS l, CASE event_id % 5 WHEN 4 THEN TRUE END AS b FROM events")
