@@ -41,6 +41,9 @@ END_ID = 1
 ROLL, MASK, LEAST, MOST = 16, 255, 64, 2048
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONE_MARK = re.compile(r"(?<=[a-z])([,.])(?=[ \n])")
+#: Marks but the apostrophe, which can begin a word's ending for the tokenizer.
+_LAST_MARKS = re.compile(r"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def digest(data: bytes) -> bytes:
@@ -77,33 +80,74 @@ class MerkleStream:
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes. The tokenizer splits at white space and never joins across
-    it, so pieces between blanks and line ends are encoded once by the library and then looked up; the table of pieces
-    is emptied when it is full."""
+    """Ids of a text as little-endian unsigned bytes, `width` each. The tokenizer splits at white space and never joins
+    across it, so pieces between blanks and line ends are encoded once and then looked up. Pieces are held in a young
+    and an old table: a full young one becomes the old one, from which a piece that is met again returns.
 
-    def __init__(self, path: str, held: int = 200_000):
+    A plain word (small Latin letters that normalising leaves as they are) is one word to the tokenizer too. Plain words
+    are encoded many at a time without its normaliser and pattern, and parted at the ids that end a word."""
+
+    def __init__(self, path: str, held: int = 150_000):
         from tokenizers import Tokenizer
 
-        self.library, self.held, self.known = Tokenizer.from_file(path), held, {}
+        self.library, self.held, self.young, self.old = Tokenizer.from_file(path), held, {}, {}
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        self.plain, self.ends = self._plain_library(path), None
+        if self.plain:
+            vocabulary = self.library.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for word, k in vocabulary.items() if word.endswith(self.plain.model.end_of_word_suffix)]] = True
+
+    @staticmethod
+    def _plain_library(path: str):
+        """The tokenizer without its normaliser and pattern, if its ids mark where words end; else none."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        made = Tokenizer.from_file(path)
+        if not getattr(made.model, "end_of_word_suffix", None):
+            return None
+        made.normalizer = normalizers.Sequence([])
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return made
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Blanks and line ends part pieces; so does a letter before a lone comma or full stop. The tokenizer lower-cases
-        all but its special tokens, so A-Z are lower-cased first where none can stand."""
+        """Blanks and line ends part pieces; so does a letter before the marks that end a piece. The tokenizer lower-cases
+        all but its special tokens, so A-Z are lower-cased first where none can stand; where one can, only a lone comma
+        or full stop is parted."""
+        marks = _LONE_MARK
         if "<|" not in text:
-            text = text.encode().translate(LOWER).decode()
-        return _LONE_MARK.sub(r" \1 ", text).replace("\n", " ").split(" ")
+            text, marks = text.encode().translate(LOWER).decode(), _LAST_MARKS
+        return marks.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if _PLAIN.fullmatch(w)] if self.plain else []
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer's ids do not mark the ends of words")
+            raw, ends = ids.astype(self.kind).tobytes(), ends.tolist()
+            self.young.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+        rest = [w for w in new if w not in self.young] if plain else new
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            self.young.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pieces(t or "") for t in texts]
-        if len(self.known) > self.held:
-            self.known.clear()
-        new = [w for w in set().union(*split) if w not in self.known]
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
+        if len(self.young) > self.held:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for word in set().union(*split).difference(young):
+            if (known := old.get(word)) is None:
+                new.append(word)
+            else:
+                young[word] = known
+        self._learn(new)
+        get = young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -147,21 +191,20 @@ def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
     encoder, given = encoder_of(path), set()
     fields = [("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("ord1", pa.int64()), ("ord2", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("root", pa.binary())]
     schema = pa.schema(fields)
-    end = np.array([END_ID], "<u4").tobytes()
-    kind_of = "<u2" if encoder.width == 2 else "<u4"
+    end = np.array([END_ID], encoder.kind).tobytes()
     for batch in batches:
         doc_ids, ord1, ord2, texts = (batch.column(k).to_pylist() for k in range(4))
         for at in range(0, len(texts), 250):
             streams = [x + end for x in encoder(texts[at : at + 250])]
-            starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in streams])))
-            ids = np.frombuffer(b"".join(streams), "<u4")
-            packed = ids.astype(kind_of)
+            starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in streams])))
+            packed = b"".join(streams)
+            ids = np.frombuffer(packed, encoder.kind)
             rows = []
             for k, ends in enumerate(cuts(ids, starts)):
                 names, last = [], int(starts[k])
                 sizes = np.diff([last, *ends]).astype("<u4").tobytes()
                 for stop in ends:
-                    payload = packed[last:stop].tobytes()
+                    payload = packed[last * encoder.width : stop * encoder.width]
                     name, last = digest(payload), stop
                     names.append(name)
                     if name not in given:
