@@ -162,6 +162,15 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(ours([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_ids_when_its_tables_turn_over():
+    ours = tokenstore.Encoder(tokenstore.default_tokenizer(), held=50)
+    rng = random.Random(6)
+    for _ in range(40):
+        texts = ["".join(rng.choice("abcßéèzAÉ''s#%,.<|>_-1² \n\u0301\u0338") for _ in range(rng.randrange(80))) for _ in range(50)]
+        want = ours.library.encode_batch_fast(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours(texts)] == [e.ids for e in want]
+
+
 def test_pii_equals_plain_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     rng = random.Random(4)

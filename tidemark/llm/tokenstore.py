@@ -80,7 +80,7 @@ class MerkleStream:
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned bytes, `width` each. The tokenizer splits at white space and never joins
+    """Ids of texts as little-endian unsigned bytes: 4 for an id, or, packed, `width`. The tokenizer splits at white space and never joins
     across it, so pieces between blanks and line ends are encoded once and then looked up. Pieces are held in a young
     and an old table: a full young one becomes the old one, from which a piece that is met again returns.
 
@@ -137,6 +137,9 @@ class Encoder:
             self.young.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pieces(t or "") for t in texts]
         if len(self.young) > self.held:
             self.young, self.old = {}, self.young
@@ -195,7 +198,7 @@ def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
     for batch in batches:
         doc_ids, ord1, ord2, texts = (batch.column(k).to_pylist() for k in range(4))
         for at in range(0, len(texts), 250):
-            streams = [x + end for x in encoder(texts[at : at + 250])]
+            streams = [x + end for x in encoder.packed(texts[at : at + 250])]
             starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in streams])))
             packed = b"".join(streams)
             ids = np.frombuffer(packed, encoder.kind)
