@@ -35,3 +35,61 @@ def text_is_entity_id(c: Column) -> Column:
 def entity_id_bytes(c: Column) -> Column:
     """The 32 bytes that ids are ordered by."""
     return F.unbase64(F.concat(F.translate(c, "-_", "+/"), F.lit("=")))
+
+
+def text_to_float(c: Column) -> Column:
+    """Decimal text with an optional exponent, and the spelled infinities and not-a-number; no blanks around."""
+    number = c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    low = F.regexp_replace(F.lower(c), r"^\+", "")
+    return F.when(number, c.try_cast("double")).when(low.isin("inf", "infinity", "-inf", "-infinity", "nan", "-nan"), F.regexp_replace(F.regexp_replace(low, "inf(inity)?", "Infinity"), "-?nan", "NaN").try_cast("double"))
+
+
+def number_to_bool(c: Column) -> Column:
+    return c != F.lit(0)
+
+
+def float_to_text(c: Column) -> Column:
+    """A whole number has no fraction part: 1.0 is "1". Others keep the digits that tell them from their neighbours."""
+    whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
+    return F.when(F.isnan(c), F.lit("NaN")).when(whole, c.cast("decimal(20,0)").cast("string")).when(F.abs(c) == F.lit(float("inf")), F.when(c > 0, "inf").otherwise("-inf")).otherwise(c.cast("string"))
+
+
+def entity_id_text(c: Column) -> Column:
+    """Text form of 32 bytes; null for any other length."""
+    return F.when(F.length(c) == 32, F.regexp_replace(F.translate(F.base64(c), "+/", "-_"), "=+$", ""))
+
+
+# Which kinds a kind casts to, besides itself.
+NUMBERS = ("i16", "i32", "i64", "f64")
+CASTABLE = {
+    "string": {"entity_id", "bool", "json", *NUMBERS},
+    "entity_id": {"string"},
+    "bool": {"string", "json", *NUMBERS},
+    "json": {"string", "bool", *NUMBERS},
+    **{n: {"string", "bool", "json", *NUMBERS} - {n} for n in NUMBERS},
+}
+
+
+def castable(kind: str, to: str) -> bool:
+    return kind == to or to in CASTABLE.get(kind, ())
+
+
+def mutually_castable(a: str, b: str) -> bool:
+    return castable(a, b) and castable(b, a)
+
+
+def json_kind(v: Column) -> Column:
+    """Of a VARIANT: integer, number, string, bool, object, array or null."""
+    of = F.schema_of_variant(v)
+    return (
+        F.when(of == "BIGINT", "integer").when(of.startswith("DECIMAL"), "number").when(of.isin("DOUBLE", "FLOAT"), "number")
+        .when(of == "STRING", "string").when(of == "BOOLEAN", "bool").when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of == "VOID", "null")
+    )
+
+
+def json_to(v: Column, kind: str) -> Column:
+    """A JSON scalar of the kind asked for, else null: text from text, integers from integers in range, floats from
+    any number, booleans from booleans."""
+    of = json_kind(v)
+    allowed, target = {"string": (["string"], "string"), "bool": (["bool"], "boolean"), "i16": (["integer"], "smallint"), "i32": (["integer"], "int"), "i64": (["integer"], "bigint"), "f64": (["integer", "number"], "double")}[kind]
+    return F.when(of.isin(*allowed), F.try_variant_get(v, "$", target))

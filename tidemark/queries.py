@@ -192,3 +192,27 @@ def _casts(spark, d):
 
 
 _add("cast_text", _casts, "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 30 END::INTEGER AS i, CASE event_id % 5 WHEN 1 THEN 30 WHEN 3 THEN 99999999999 END::BIGINT AS l, CASE event_id % 5 WHEN 4 THEN TRUE END AS b FROM events")
+
+
+def _json_casts(spark, d):
+    from tidemark.functions import casts
+
+    made = F.expr("""CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('{"k":"', user_id, '"}') WHEN 2 THEN '{"k":true}' WHEN 3 THEN '{"k":70000}' ELSE '{}' END""")
+    value = F.try_variant_get(F.try_parse_json(made), "$.k", "variant")
+    held = table(spark, d, "events").select("event_id", value.alias("v"))
+    return held.select("event_id", casts.json_kind(F.col("v")).alias("kind"), *(casts.json_to(F.col("v"), k).alias(k) for k in ("i16", "i64", "string", "bool")))
+
+
+_add("cast_json", _json_casts, """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'string' WHEN 2 THEN 'bool' WHEN 4 THEN NULL ELSE 'integer' END AS kind,
+  CASE event_id % 5 WHEN 0 THEN CAST(json_extract(props, '$.k') AS SMALLINT) END AS i16,
+  CASE event_id % 5 WHEN 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) WHEN 3 THEN 70000 END::BIGINT AS i64,
+  CASE event_id % 5 WHEN 1 THEN CAST(user_id AS VARCHAR) END AS string, CASE event_id % 5 WHEN 2 THEN TRUE END AS bool FROM events""")
+
+
+def _number_casts(spark, d):
+    from tidemark.functions import casts
+
+    return table(spark, d, "orders").select("o_orderkey", casts.float_to_int(F.col("o_totalprice")).alias("i"), casts.number_to_bool(F.col("o_custkey") % 2).alias("b"), casts.float_to_text(F.col("o_custkey").cast("double")).alias("t"))
+
+
+_add("cast_number", _number_casts, "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INTEGER) AS i, o_custkey % 2 <> 0 AS b, CAST(o_custkey AS VARCHAR) AS t FROM orders")
