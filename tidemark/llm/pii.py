@@ -113,15 +113,20 @@ def _plain(c: str) -> str:
 
 _FOREIGN = re.compile("[^\x00-\x7f]")
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
+#: What follows a spaced "at": a name, and a dot in one of its forms.
+_HOST = r"(?=[A-Za-z0-9-]+(?:\s+(?:dot|\.)\s+[A-Za-z0-9-]+|\s*[\[({<]\s*dot|\.[A-Za-z0-9-]))"
 _WORDS = re.compile(
     rf"(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*)|(?P<dot>\s*[\[({{<]\s*(?:dot|point)\s*[\])}}>]\s*)"
-    rf"|(?P<spaced>(?<=[A-Za-z0-9._%+-])\s+(?:at|@)\s+(?=[A-Za-z0-9-]+(?:\s+(?:dot|\.)\s+[A-Za-z0-9-]+|\s*[\[({{<]\s*dot|\.[A-Za-z0-9-])))"
+    rf"|(?P<spaced>(?<=[A-Za-z0-9._%+-])\s+(?:at|@)\s+{_HOST})"
     rf"|(?P<near>(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?:\bplus[\s-]+)?\b{_DIGIT_WORD}(?:[\s,-]+(?:{_DIGIT_WORD}\b|[0-9]+))+)",
     re.I,
 )
+#: Spaced full stops after such a name, which are rewritten with its "at" alone: elsewhere they end sentences.
+_STOPS = re.compile(r"[A-Za-z0-9-]+(?:\s+\.\s+[A-Za-z0-9-]+)+")
+_STOP = re.compile(r"\s+\.\s+")
 #: One of these stands in every text that the word transducer changes.
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|point)\s*[\])}}>]|\sdot\s|\b{_DIGIT_WORD}[\s,-]+(?:{_DIGIT_WORD}|[0-9])", re.I)
+_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|point)\s*[\])}}>]|\s(?:dot\s|(?:at|@)\s+{_HOST})|\b{_DIGIT_WORD}[\s,-]+(?:{_DIGIT_WORD}|[0-9])", re.I)
 _TOKEN = re.compile(rf"plus|{_DIGIT_WORD}|[0-9]+", re.I)
 
 
@@ -169,13 +174,15 @@ def deobfuscate(text: str) -> Rewritten:
             a, b = m.span()
             if m["digits"] is None:
                 edits.append((a, b, [("@" if m["at"] or m["spaced"] else ".", a, b)]))
+                if m["spaced"] and (host := _STOPS.match(out.text, b)):
+                    edits += ((*t.span(), [(".", *t.span())]) for t in _STOP.finditer(out.text, b, host.end()))
             else:
                 pieces = []
                 for t in _TOKEN.finditer(m["digits"]):
                     word = t[0].lower()
                     pieces.append(("+" if word == "plus" else SPELLED.get(word, t[0]), a + t.start(), a + t.end()))
                 edits.append((a, b, pieces))
-        out.replace(edits)
+        out.replace(sorted(edits))
     return out
 
 
