@@ -15,3 +15,12 @@ def test_pii_gate_skips_no_disguise(monkeypatch):
     gated = [pii.deobfuscate(t).text for t in texts]
     monkeypatch.setattr(pii, "_HINT", re.compile(""))
     assert gated == [pii.deobfuscate(t).text for t in texts]
+
+
+def test_pii_spans_reach_beyond_their_base_part():
+    for part, whole in (("hn@example.com", "j\u043ehn@example.com"), ("lee@example.com", "ann [dot] lee@example.com"), ("hn@example.com", "jo\u200bhn@example.com"), ("john@mail.ex", "john@mail.ex\u0430mple.com")):
+        text = f"to {whole} now"
+        base, every = pii.find(text)
+        assert [text[a:b] for _, a, b in base] == [part]
+        assert {text[a:b] for _, a, b in every} == {part, whole}
+        assert set(base) <= set(every)

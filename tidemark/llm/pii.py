@@ -6,7 +6,8 @@ The second works on words: "(at)", "[dot]" and spaced "at ... dot ..." become @
 digits. The detectors run over the plain text and over the rewritten one, and spans of the latter are mapped back.
 
 The plain text's spans (base) always stay. A mapped span is added if a rewriting lies in it, no letter or digit
-touches it, and no base span overlaps it.
+touches it, and it does not lie wholly in a span of its kind; it may reach beyond base spans that it overlaps, which
+are often parts of the same identifier.
 
 Detectors, leftmost and non-overlapping of each kind, failing matches dropped without a retry:
   email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
@@ -198,7 +199,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         start, end = int(seen.start[a]), int(seen.end[b - 1])
         within = seen.changed[a:b].any() or (seen.start[a + 1 : b] != seen.end[a : b - 1]).any()  # a vanished character lies in it
         edged = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-        if within and not edged and not any(x < end and start < y for _, x, y in every):
+        if within and not edged and not any(k == kind and x <= start and end <= y for k, x, y in every):
             every.append((kind, start, end))
     return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
 
