@@ -2,8 +2,12 @@
 
 import random
 import re
+import shutil
 
-from tidemark.llm import pii
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import pii, tokenstore
 
 
 def test_pii_gate_skips_no_disguise(monkeypatch):
@@ -24,3 +28,48 @@ def test_pii_spans_reach_beyond_their_base_part():
         assert [text[a:b] for _, a, b in base] == [part]
         assert {text[a:b] for _, a, b in every} == {part, whole}
         assert set(base) <= set(every)
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "zug", "of", "the", "12"]) for _ in range(900)) for _ in range(6)]
+    root = f"{tmp_path_factory.mktemp('store')}/s"
+    tokenstore.token_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenstore.default_tokenizer(), root)
+    return root
+
+
+def altered(spark, store, tmp_path, part, change):
+    """A copy of the store, of which one table is written anew."""
+    root = f"{tmp_path}/s"
+    shutil.copytree(store, root)
+    source = spark.read.parquet(f"{store}/{part}")
+    shutil.rmtree(f"{root}/{part}")
+    change(source).write.parquet(f"{root}/{part}")
+    return root
+
+
+BROKEN = [
+    ("staged/kind=1", lambda df: df.where(F.col("digest") != df.agg(F.min("digest")).first()[0])),
+    ("staged/kind=1", lambda df: df.withColumn("payload", F.reverse(F.hex("payload")).cast("binary"))),
+    ("staged/kind=1", lambda df: df.union(df.limit(1))),
+    ("recipes", lambda df: df.withColumn("root", F.col("digests").substr(1, 15))),
+    ("recipes", lambda df: df.withColumn("digests", F.concat(F.col("digests").substr(17, 1 << 20), F.col("digests").substr(1, 16)))),
+    ("recipes", lambda df: df.where("doc_id <> 2")),
+    ("recipes", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + 1)),
+    ("manifest", lambda df: df.withColumn("ids", F.col("ids") + 1)),
+    ("manifest", lambda df: df.withColumn("documents", F.col("documents") + 1)),
+    ("manifest", lambda df: df.withColumn("root", F.reverse(F.hex("root")).cast("binary"))),
+    ("manifest", lambda df: df.where("shard <> 0")),
+]
+
+
+@pytest.mark.parametrize(("part", "change"), BROKEN)
+def test_token_store_reading_finds_what_is_broken(spark, store, tmp_path, part, change):
+    root = altered(spark, store, tmp_path, part, change)
+    with pytest.raises(Exception, match="match|missing|do not"):
+        tokenstore.read_back(spark, root).collect()
+    if part != "manifest":
+        lines = spark.read.parquet(f"{store}/recipes").select("shard", "line")
+        with pytest.raises(Exception, match="match|missing|more than once|there is no"):
+            tokenstore.reconstruct(spark, root, lines).collect()

@@ -12,7 +12,8 @@ committed by Spark's writer, so a lost executor leaves no half-written file):
 
 Reading back takes chunks and recipes from these files, checks every payload against its name, every recipe
 against its root and every shard against the manifest, and gets a document's CRC from its chunks' CRCs, shifted by
-what follows them: payloads never move to their documents. `reconstruct` returns the ids themselves.
+what follows them: payloads never move to their documents. `reconstruct` returns the ids themselves, with the same
+checks of the recipes and chunks it reads. What is missing or does not agree is an error.
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own; a null doc_id
 sorts first; equal order values keep rows together, in the order of their contents; an empty table gives empty files.
@@ -231,6 +232,16 @@ def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line, start = line + len(n), start + int(n.sum())
 
 
+def _names(root: bytes, digests: bytes, sizes: bytes, n_tokens: int) -> list[bytes]:
+    """The chunks that a recipe names, checked against its root; sizes against their number and sum."""
+    names = [digests[k : k + DIGEST] for k in range(0, len(digests), DIGEST)]
+    if merkle(names) != root:
+        raise ValueError("a recipe does not match its root")
+    if len(sizes) != 4 * len(names) or int(np.frombuffer(sizes, "<u4").sum(dtype=np.int64)) != n_tokens:
+        raise ValueError("a recipe's sizes do not match its ids")
+    return names
+
+
 def _manifest(recipes: DataFrame) -> DataFrame:
     """shard, documents, ids, root of each shard, from its recipes in the order of lines."""
 
@@ -239,19 +250,20 @@ def _manifest(recipes: DataFrame) -> DataFrame:
         names = ["shard", "documents", "ids", "root"]
         give = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([documents], pa.int64()), pa.array([ids], pa.int64()), pa.array([tree.root()], pa.binary())], names)
         for batch in batches:
-            for shard, n, root, digests in zip(*(batch.column(c).to_pylist() for c in ("shard", "n_tokens", "root", "digests")), strict=True):
-                if merkle([digests[k : k + DIGEST] for k in range(0, len(digests), DIGEST)]) != root:
-                    raise ValueError(f"a recipe of shard {shard} does not match its root")
+            for shard, line, start, n, root, digests, sizes in zip(*(batch.column(c).to_pylist() for c in ("shard", "line", "start", "n_tokens", "root", "digests", "sizes")), strict=True):
+                _names(root, digests, sizes, n)
                 if shard != at:
                     if at is not None:
                         yield give()
                     at, tree, documents, ids = shard, MerkleStream(), 0, 0
+                if (line, start) != (documents, ids):
+                    raise ValueError(f"the recipes of shard {shard} do not follow one another")
                 tree.add(root)
                 documents, ids = documents + 1, ids + n
         if at is not None:
             yield give()
 
-    dealt = recipes.select("shard", "line", "n_tokens", "root", "digests").repartition("shard").sortWithinPartitions("shard", "line")
+    dealt = recipes.select("shard", "line", "start", "n_tokens", "root", "digests", "sizes").repartition("shard").sortWithinPartitions("shard", "line")
     return dealt.mapInArrow(run, "shard int, documents bigint, ids bigint, root binary")
 
 
@@ -311,10 +323,21 @@ def shift_crc(crc: np.ndarray, count: np.ndarray, tables: np.ndarray | None = No
     return crc
 
 
+def check_manifest(recipes: DataFrame, shards: DataFrame) -> None:
+    """Raises where the manifest (shards) is not the one that the recipes give."""
+    found, kept = _manifest(recipes), shards.select("shard", "documents", "ids", "root")
+    apart = found.withColumn("side", F.lit(1)).unionByName(kept.withColumn("side", F.lit(-1))).groupBy("shard", "documents", "ids", "root")
+    wrong = apart.agg(F.sum("side").alias("side"), F.count(F.lit(1)).alias("rows")).where("side <> 0 OR rows <> 2").limit(1).collect()
+    if wrong:
+        raise ValueError(f"shard {wrong[0]['shard']} does not match the manifest")
+
+
 def read_back(spark: SparkSession, root: str) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Recipes are
+    held against the manifest at once, chunks against the recipes as the rows are read."""
     recipes = spark.read.parquet(f"{root}/recipes")
     shards = spark.read.parquet(f"{root}/manifest")
+    check_manifest(recipes, shards)
     wide = chunks_of(spark, root)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +354,15 @@ def read_back(spark: SparkSession, root: str) -> DataFrame:
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, line, digests, sizes = (batch.column(k).to_pylist() for k in range(4))
-            counts = [len(d) // DIGEST for d in digests]
+            shard, line, digests, sizes, roots, n_tokens = (batch.column(k).to_pylist() for k in range(6))
+            named = [_names(*x) for x in zip(roots, digests, sizes, n_tokens, strict=True)]
+            counts = [len(x) for x in named]
             after = [(lambda n: 4 * (n.sum() - np.cumsum(n)))(np.frombuffer(s, "<u4").astype(np.int64)) for s in sizes]
-            names = [d[k : k + DIGEST] for d in digests for k in range(0, len(d), DIGEST)]
+            names = [n for x in named for n in x]
             flat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(shard, np.int32), counts)), pa.array(np.repeat(np.array(line, np.int64), counts)), pa.array(names, pa.binary()), pa.array(flat(after)), pa.array(flat([np.frombuffer(s, "<u4").astype(np.int64) for s in sizes]))], ["shard", "line", "digest", "after", "planned"])
 
-    parts = recipes.select("shard", "line", "digests", "sizes").mapInArrow(unroll, "shard int, line bigint, digest binary, after bigint, planned bigint")
+    parts = recipes.select("shard", "line", "digests", "sizes", "root", "n_tokens").mapInArrow(unroll, "shard int, line bigint, digest binary, after bigint, planned bigint")
 
     @F.pandas_udf("long")
     def carried(crc, after):
@@ -346,26 +370,50 @@ def read_back(spark: SparkSession, root: str) -> DataFrame:
 
         return pd.Series(shift_crc(crc.to_numpy(), after.to_numpy()).astype(np.int64))
 
-    joined = parts.join(known, "digest", "left").select("shard", "line", "size", F.assert_true((F.col("crc").isNotNull()) & (F.col("size") == F.col("planned")), "a recipe names a chunk that is missing or of another size").alias("ok"), carried(F.coalesce("crc", F.lit(0).cast("long")), "after").alias("crc"))
-    whole = joined.groupBy("shard", "line").agg(F.sum("size").alias("read_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.count("ok").alias("ok_"))
+    # the error stands in the value itself, as a column that nothing reads would be pruned
+    crc = F.when(F.col("crc").isNotNull() & (F.col("size") == F.col("planned")), F.col("crc")).otherwise(F.raise_error("a recipe names a chunk that is missing or of another size").cast("long"))
+    joined = parts.join(known, "digest", "left").select("shard", "line", "size", carried(crc, "after").alias("crc"))
+    whole = joined.groupBy("shard", "line").agg(F.sum("size").alias("read_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    n_tokens = F.when(F.col("read_tokens") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error("a document's chunks do not have its ids").cast("long"))
     # the manifest holds a row for each shard, as many as the range partitioning had
     before = shards.select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("offset"))
-    return recipes.select("shard", "line", "doc_id", F.col("start").alias("inner"), "n_tokens").join(whole, ["shard", "line"]).join(before, "shard").select("doc_id", (F.col("offset") + F.col("inner")).alias("start"), F.col("read_tokens").alias("n_tokens"), "ids_crc32")
+    return recipes.select("shard", "line", "doc_id", F.col("start").alias("inner"), "n_tokens").join(whole, ["shard", "line"], "left").join(before, "shard").select("doc_id", (F.col("offset") + F.col("inner")).alias("start"), n_tokens.alias("n_tokens"), "ids_crc32")
 
 
 def reconstruct(spark: SparkSession, root: str, lines: DataFrame) -> DataFrame:
     """The ids themselves of chosen recipes (columns shard, line): shard, line, doc_id, ids (little-endian unsigned 32-bit bytes)."""
     width = int(spark.read.parquet(f"{root}/format").first()["width"])
     held = "<u2" if width == 2 else "<u4"
-    chosen = spark.read.parquet(f"{root}/recipes").join(lines.select("shard", "line").distinct(), ["shard", "line"])
-    spread = chosen.select("shard", "line", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("digests") / DIGEST).cast("int") - 1), lambda k: F.substring("digests", k * DIGEST + 1, F.lit(DIGEST)))).alias("k", "digest"))
+    chosen = lines.select("shard", "line").distinct().join(spark.read.parquet(f"{root}/recipes"), ["shard", "line"], "left")
+
+    def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("shard", pa.int32()), ("line", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("parts_", pa.int32()), ("digest", pa.binary())])
+        for batch in batches:
+            rows = []
+            for shard, line, doc, top, digests, sizes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if top is None:
+                    raise ValueError(f"there is no recipe in line {line} of shard {shard}")
+                names = _names(top, digests, sizes, n)
+                rows += ((shard, line, doc, k, len(names), name) for k, name in enumerate(names))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    spread = chosen.select(F.col("shard").cast("int"), F.col("line").cast("long"), "doc_id", "root", "digests", "sizes", "n_tokens").mapInArrow(unroll, "shard int, line bigint, doc_id bigint, k int, parts_ int, digest binary")
 
     @F.pandas_udf("binary")
-    def widen(payload):
-        return payload.map(lambda p: np.frombuffer(p, held).astype("<u4").tobytes())
+    def widen(name, payload):
+        def checked(n, p):
+            if p is None:
+                raise ValueError("a recipe names a chunk that is missing")
+            if digest(p) != n:
+                raise ValueError("a chunk does not match its name")
+            return np.frombuffer(p, held).astype("<u4").tobytes()
+
+        return name.combine(payload, checked)
 
-    got = spread.join(chunks_of(spark, root), "digest").select("shard", "line", "doc_id", "k", widen("payload").alias("ids"))
-    return got.groupBy("shard", "line", "doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("shard", "line", "doc_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+    got = spread.join(chunks_of(spark, root), "digest", "left").select("shard", "line", "doc_id", "parts_", "k", widen("digest", "payload").alias("ids"))
+    parts = got.groupBy("shard", "line", "doc_id", "parts_").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    whole = F.when(F.size("parts") == F.col("parts_"), F.col("parts")).otherwise(F.raise_error("a chunk is stored more than once"))
+    return parts.select("shard", "line", "doc_id", F.aggregate(whole, F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
 def token_store(docs: DataFrame, tokenizer: str, root: str | None = None, **options) -> tuple[str, DataFrame]:
