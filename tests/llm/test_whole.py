@@ -3,11 +3,13 @@
 import random
 import re
 import shutil
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, tokenstore
+from tidemark.llm import mixing, pii, tokenstore
 
 
 def test_pii_gate_skips_no_disguise(monkeypatch):
@@ -73,3 +75,52 @@ def test_token_store_reading_finds_what_is_broken(spark, store, tmp_path, part,
         lines = spark.read.parquet(f"{store}/recipes").select("shard", "line")
         with pytest.raises(Exception, match="match|missing|more than once|there is no"):
             tokenstore.reconstruct(spark, root, lines).collect()
+
+
+def ideal_mix(blocks, weights):
+    """Of each source what it has had after each slot, sources leaving as they are used up: exact, phase by phase."""
+    had, lines = dict.fromkeys(blocks, Fraction(0)), []
+    left = Fraction(0)  # of the slot
+    for _ in range(sum(blocks.values())):
+        left = Fraction(1)
+        while left:
+            live = [s for s in blocks if had[s] < blocks[s]]
+            live = [s for s in live if weights.get(s, 0) > 0] or live
+            share = {s: Fraction(weights.get(s, 0) or 1) for s in live}
+            total = sum(share.values())
+            step = min(left, *((blocks[s] - had[s]) * total / share[s] for s in live))
+            for s in live:
+                had[s] += step * share[s] / total
+            left -= step
+        lines.append(dict(had))
+    return lines
+
+
+def within_a_block(blocks, weights):
+    rows = list(mixing.schedule(blocks, weights))
+    assert [r[5] for r in rows] == list(range(sum(blocks.values())))
+    assert all(released <= slot < due for *_, released, due, slot in rows)
+    done = dict.fromkeys(blocks, 0)
+    for (s, block, *_), want in zip(rows, ideal_mix(blocks, weights), strict=True):
+        assert block == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - want[x]) < 1 for x in blocks)
+
+
+def test_mixing_is_within_a_block_of_the_given_weights():
+    rng = random.Random(5)
+    within_a_block({"a": 40, "b": 7, "c": 1, "d": 90}, {"a": 0.3, "b": 0.001, "d": 2.0})
+    within_a_block({f"s{k}": rng.randint(1, 6) for k in range(40)}, {f"s{k}": rng.random() for k in range(38)})
+    within_a_block({"big": 60, **{f"s{k}": 1 for k in range(60)}}, {"big": 0.1} | {f"s{k}": 0.015 for k in range(60)})
+
+
+def test_mixing_holds_the_weights_over_a_long_schedule(spark):
+    sizes = {"hot": 20_000, **{f"s{k}": 2105 for k in range(19)}}
+    docs = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
+    got = {(r.source_, r.block): r.slot for r in mixing.mix(docs).select("source_", "block", "slot").distinct().collect()}
+    assert sorted(got.values()) == list(range(len(got)))
+    hot = np.array(sorted(slot for (s, _), slot in got.items() if s == "hot"))
+    until = min(max(slot for (s, _), slot in got.items() if s == x) for x in sizes)  # all sources are open so far
+    hot, share = hot[hot < until], 20_000**0.5 / sum(n**0.5 for n in sizes.values())
+    assert len(hot) > 150
+    assert (abs(np.arange(1, len(hot) + 1) - share * (hot + 1)) < 1).all()
