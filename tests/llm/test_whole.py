@@ -124,3 +124,10 @@ def test_mixing_holds_the_weights_over_a_long_schedule(spark):
     hot, share = hot[hot < until], 20_000**0.5 / sum(n**0.5 for n in sizes.values())
     assert len(hot) > 150
     assert (abs(np.arange(1, len(hot) + 1) - share * (hot + 1)) < 1).all()
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    docs = spark.createDataFrame([(k, f"host{k % 1500}") for k in range(4000)], "doc_id long, source string")
+    got = mixing.mix(docs, block=2).collect()
+    assert len(got) == 4000
+    assert all(r.released <= r.slot < r.due for r in got)
