@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pii, tokenstore
+from tidemark.llm import decontam, mixing, pii, tokenstore
 
 
 def test_pii_gate_skips_no_disguise(monkeypatch):
@@ -131,3 +131,31 @@ def test_mixing_takes_any_number_of_sources(spark):
     got = mixing.mix(docs, block=2).collect()
     assert len(got) == 4000
     assert all(r.released <= r.slot < r.due for r in got)
+
+
+def test_clean_cuts_the_same_in_any_number_of_passes(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    whole = " ".join(words[:30])
+    texts = [whole, f"Before, {whole.upper()} after.", None, "", "...", "nothing of it", " ".join(words), *(" ".join(rng.choices(words[:4], k=25)) for _ in range(40))]
+    rows = [(k, t, None if t is None else len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, n_chars long")
+    items = [(k, " ".join(words[k : k + 14])) for k in range(0, 30, 4)] + [(100 + k, " ".join(rng.choices(words[:4], k=3))) for k in range(8)] + [(200, None), (None, "nothing")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for doc, text, _ in [*rows, rows[1]]:
+        given = decontam.words_of(text)
+        covered = np.zeros(len(given), bool)
+        for item, passage in items:
+            w = decontam.words_of(passage) if item is not None else []
+            for window in {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else ():
+                for k in range(len(given) - len(window) + 1):
+                    if tuple(given[k : k + len(window)]) == window:
+                        covered[k : k + len(window)] = True
+        if not covered.any() or not covered.all():
+            left = decontam.cut(text, decontam.spans_of(text, covered)) if covered.any() else text
+            want.append((doc, left, None if left is None else len(left)))
+    for pass_words in (decontam.PASS_WORDS, 40, 3):
+        got = decontam.clean(docs, bench, pass_words=pass_words)
+        assert got.columns == docs.columns
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))

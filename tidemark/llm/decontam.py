@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import LOWER, WORD_BYTES, WORD_CHARS, materialize, small_batches, table
 from .fmindex import SEPARATOR, FMIndex
@@ -66,6 +67,8 @@ def shard_hits(words: list[list[bytes]], phrases: Phrases, sample: int) -> tuple
         return starts, hit[:total] > 0, found
     # stretches of known words inside one document
     known = ids != 0
+    if not known.any():
+        return starts, hit[:total] > 0, found
     opens = known.copy()
     opens[1:] &= ~known[:-1]
     inner = starts[:-1][sizes > 0]
@@ -217,8 +220,8 @@ FROM docs d LEFT JOIN covered c USING (rid) LEFT JOIN named n USING (rid)
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", length_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, sample: int = 8, pass_words: int = PASS_WORDS) -> DataFrame:
     """The rows of docs, all columns, with the spans cut out of text_col (length_col, if there is one, follows).
-    A document of which the cuts leave no word goes; every other one stays. A benchmark of several passes is cut pass
-    by pass; an occurrence that overlaps an earlier cut is broken already."""
+    A document of which the cuts leave no word goes; every other one stays. Each pass of a larger benchmark searches
+    the texts as given and hands on the words that it found beside the row; the last one cuts."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
@@ -226,12 +229,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
     passes = max(1, -(-size // (4 * pass_words)))
     names, schema = docs.columns, docs.schema
     lengths = length_col if length_col in names else None
+    carried = "_words_found"
+    while carried in names:
+        carried += "_"
+    wide = StructType([*schema.fields, StructField(carried, ArrayType(LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], held, last: bool) -> Iterator[pa.RecordBatch]:
         def flush(group: list[pa.RecordBatch], words: list[list[bytes]]) -> pa.RecordBatch:
             whole = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
-            starts, covered, found = shard_hits(words, held.value, sample)
-            hit = [k for k, items in enumerate(found) if items]
+            starts, covered, _ = shard_hits(words, held.value, sample)
+            if carried in whole.schema.names:  # begins and ends of the words that earlier passes found
+                for k, edges in enumerate(whole.column(carried).to_pylist()):
+                    for a, b in zip(edges[::2], edges[1::2], strict=True):
+                        covered[starts[k] + a : starts[k] + b] = True
+                whole = whole.drop_columns([carried])
+            if not last:
+                edges = [np.flatnonzero(np.diff(covered[a:b].astype(np.int8), prepend=0, append=0)).tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                return pa.RecordBatch.from_arrays([*whole.columns, pa.array(edges, pa.list_(pa.int64()))], [*whole.schema.names, carried])
+            hit = np.unique(np.searchsorted(starts, np.flatnonzero(covered), "right") - 1).tolist()
             if not hit:
                 return whole
             column = names.index(text_col)
@@ -264,5 +279,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
     for k in range(passes):
         block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
         held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
-        docs = docs.mapInArrow(lambda batches, held=held: run(batches, held), schema)
+        last = k == passes - 1
+        docs = docs.mapInArrow(lambda batches, held=held, last=last: run(batches, held, last), schema if last else wide)
     return docs
