@@ -5,7 +5,7 @@ keeps one document of each group; decontamination cuts benchmark passages out of
 (files by part number, rows within files); the token store writes the ids in that order.
 
 SQL cannot express the stages (SimHash, a trained language model, earliest-deadline-first slots, a tokenizer), so
-there is none; tests/llm holds run() against brute force.
+there is none; tests/llm/test_whole.py holds run() against brute force, given the documents that language ID accepts.
 """
 
 from __future__ import annotations

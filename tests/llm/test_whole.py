@@ -3,13 +3,15 @@
 import random
 import re
 import shutil
+import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, pii, tokenstore
+import corpus_pipeline
+from tidemark.llm import decontam, langid, mixing, pii, simhash, tokenstore
 
 
 def test_pii_gate_skips_no_disguise(monkeypatch):
@@ -159,3 +161,79 @@ def test_clean_cuts_the_same_in_any_number_of_passes(spark):
         got = decontam.clean(docs, bench, pass_words=pass_words)
         assert got.columns == docs.columns
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def one_of_each_group(rows):
+    """Of rows (id, text, ...) the first of each group by id, nulls last; groups from all pairs of fingerprints."""
+    fp = np.array([simhash.fingerprint(r[1]) for r in rows], np.uint64)
+    label, old = np.arange(len(rows)), None
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= simhash.MOST_BITS
+    while old is None or (label != old).any():
+        old, label = label, np.array([label[line].min() for line in near])
+    first = {}
+    for row, group in sorted(zip(rows, label, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        first.setdefault(group, row)
+    return list(first.values())
+
+
+def near_texts(seed):
+    """Two texts with fingerprints that differ, but in few bits."""
+    rng = random.Random(seed)
+    while True:
+        words = [rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(400)]
+        other = " ".join([*words[:-1], "other"])
+        if 0 < (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(other)).bit_count() <= simhash.MOST_BITS:
+            return " ".join(words), other
+
+
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    (a, b), (c, d), (e, f) = near_texts(1), near_texts(2), near_texts(3)
+    rows = [(5, a), (5, c), (None, b), (None, e), (None, f), (None, e), (7, d), (5, a), (9, "one more text of its own"), (None, None)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [5, 5, 9]
+    assert {r.text for r in got if r.doc_id == 5} == {a, c}
+    assert len([r for r in got if r.doc_id is None and r.text in (e, f)]) == 1
+    assert len(got) == len(one_of_each_group(rows)) == 5
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(400)
+    extra = given.where("doc_id IS NOT NULL").orderBy("doc_id").limit(3)
+    docs = given.unionByName(extra).unionByName(extra.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    other = given.orderBy(F.desc("doc_id")).limit(1).withColumn("doc_id", F.lit(extra.first()["doc_id"])).withColumn("text", F.concat("text", F.lit(" and then the river of the old town was seen from the hill with all of its boats")))
+    docs.unionByName(other.select(docs.columns)).withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    known = langid.identify(docs).where("accepted_").select("row_.doc_id", "row_.text", "row_.source", F.xxhash64("row_.doc_id")).collect()
+    rows = one_of_each_group([tuple(r) for r in known])
+    windows = {}
+    for item, text in spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("item_id", "text").collect():
+        w = decontam.words_of(text) if item is not None else []
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(len(w[k : k + 10]), set()).add(tuple(w[k : k + 10]))
+    left = []
+    for doc, text, source, key in rows:
+        w = decontam.words_of(text)
+        covered = np.zeros(len(w), bool)
+        for size, known_ in windows.items():
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in known_:
+                    covered[k : k + size] = True
+        if not covered.any() or not covered.all():
+            left.append((doc, decontam.cut(text, decontam.spans_of(text, covered)) if covered.any() else text, mixing.NO_SOURCE if source is None else source, key))
+    by_source = {}
+    for row in sorted(left, key=lambda r: r[3]):
+        by_source.setdefault(row[2], []).append(row)
+    order = []
+    for s, block, *_ in mixing.schedule({s: -(-len(x) // 32) for s, x in by_source.items()}, {s: len(x) ** 0.5 for s, x in by_source.items()}):
+        order += by_source[s][32 * block : 32 * block + 32]
+    library, want, start = Tokenizer.from_file(tokenstore.default_tokenizer()), [], 0
+    for doc, text, *_ in order:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, tokenstore.END_ID], "<u4")
+        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(want) > 100
+    assert sorted(got, key=lambda r: r[1]) == want

@@ -50,16 +50,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long); keyed: text_key too, the text's hash."""
     small_batches(docs.sparkSession)
+    kept = ["doc_id", "text_key"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            made = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.int64())], [*kept, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return slim.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in [*kept, "fp"]))
 
 
 def variants(distinct: DataFrame) -> DataFrame:
@@ -192,39 +194,37 @@ def similar_links(distinct: DataFrame, run: int = RUN, block: int = BLOCK) -> Da
     return links.union(third.where("kind = 0").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """Per row of docs: doc_id, fp (long), component_id (smallest doc_id that links reach, itself included)."""
-    made = materialize(fingerprints(docs, id_col, text_col), "simhash")
+def _members(made: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """fp, component (a fingerprint of it), component_id of each distinct fingerprint of made (doc_id, fp)."""
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = connected_components(similar_links(distinct.select("fp"), run, block))
     named = found.join(distinct, found.node == distinct.fp).select("fp", "component", "first_id")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = named.join(least, "component").select("fp", "component_id")
-    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    every = materialize(every, "members")
-    return made.join(every, "fp").select("doc_id", "fp", "component_id")
+    linked = named.join(least, "component").select("fp", "component", "component_id")
+    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return materialize(every, "members")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """Per row of docs: doc_id, fp (long), component_id (smallest doc_id that links reach, itself included)."""
+    made = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    return made.join(_members(made, run, block), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their component, all columns: one document stays of each group; of repeated
-    rows with the same id one stays. Rows without an id that belong to a group with ids go; in a group without any
-    id one row stays."""
+    """The rows of docs that stand for their component, all columns: one row stays of each group, that with the
+    smallest id. Rows without an id go if their group has an id. Texts under one repeated id stay if they are of
+    different groups; of a group's texts under its smallest id, and of repeated rows, one stays."""
     spark = docs.sparkSession
     slim = docs.select(F.struct("*").alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"))
-    members = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = materialize(members.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    made = materialize(fingerprints(docs, id_col, text_col, keyed=True), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
+    kept = made.join(_members(made).select("fp", "component"), "fp").groupBy("component").agg(first)
+    kept = materialize(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")), "kept")
     small_batches(spark)
-    once = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    chosen = slim.join(kept, "doc_id", "left_semi")
-    if once:  # repeated ids: of each, the row with the smallest key stays
-        chosen = chosen.groupBy("doc_id").agg(F.min_by("row_", "text_key").alias("row_"))
-    lost = slim.where("doc_id IS NULL")
-    nameless = members.where("component_id IS NULL").select("fp").distinct()
-    if not nameless.isEmpty():
-        keyed = lost.select("row_", "text_key").groupBy("text_key").agg(F.first("row_").alias("row_"))
-        with_fp = fingerprints(keyed.select(F.col("text_key").alias("doc_id"), F.col(f"row_.{text_col}").alias("text"))).withColumnRenamed("doc_id", "text_key")
-        alone = with_fp.join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key"))
-        chosen = chosen.select("row_").unionByName(keyed.join(alone, "text_key", "left_semi").select("row_"))
+    chosen = slim.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    if not made.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        chosen = chosen.groupBy("doc_id", "text_key").agg(F.first("row_").alias("row_"))
     return chosen.select("row_.*")
 
 
