@@ -21,7 +21,7 @@ def text_to_bool(c: Column) -> Column:
 
 def float_to_int(c: Column, kind: str = "int") -> Column:
     """Finite numbers, cut towards zero; out of range is null."""
-    return F.when(~F.isnan(c), c.try_cast("decimal(38,0)" if kind == "decimal(38,0)" else kind))
+    return F.when(~F.isnan(c), c.try_cast(kind))
 
 
 def bool_to_int(c: Column, kind: str = "int") -> Column:
@@ -93,3 +93,45 @@ def json_to(v: Column, kind: str) -> Column:
     of = json_kind(v)
     allowed, target = {"string": (["string"], "string"), "bool": (["bool"], "boolean"), "i16": (["integer"], "smallint"), "i32": (["integer"], "int"), "i64": (["integer"], "bigint"), "f64": (["integer", "number"], "double")}[kind]
     return F.when(of.isin(*allowed), F.try_variant_get(v, "$", target))
+
+
+def to_json_value(c: Column) -> Column:
+    """A scalar as a VARIANT of its own kind; null stays null."""
+    return F.try_variant_get(F.to_variant_object(F.struct(c.alias("v"))), "$.v", "variant")
+
+
+def parse_as_json(c: Column) -> Column:
+    """The VARIANT that a text or UTF-8 bytes hold; null if they hold none."""
+    return F.try_parse_json(c.cast("string"))
+
+
+def json_is_null(v: Column) -> Column:
+    return F.is_variant_null(v)
+
+
+def json_is_object(v: Column) -> Column:
+    return F.coalesce(json_kind(v) == "object", F.lit(False))
+
+
+def json_is_array(v: Column) -> Column:
+    return F.coalesce(json_kind(v) == "array", F.lit(False))
+
+
+def json_at(v: Column, *steps: str) -> Column:
+    """What lies at a path of object keys; null where there is no such key, and inside arrays."""
+    return F.try_variant_get(v, "$" + "".join(f'["{s}"]' for s in steps), "variant")
+
+
+def is_in_range(c: Column, lower: object = None, upper: object = None, *, lower_in: bool = True, upper_in: bool = True) -> Column:
+    """Whether a value lies between two bounds, each in or out; None is no bound. NaN is above all numbers."""
+    out = F.lit(True)
+    if lower is not None:
+        out = out & ((c >= F.lit(lower)) if lower_in else (c > F.lit(lower)))
+    if upper is not None:
+        out = out & ((c <= F.lit(upper)) if upper_in else (c < F.lit(upper)))
+    return F.when(c.isNotNull(), out)
+
+
+def entity_id_short(c: Column, length: int = 6) -> Column:
+    """The first characters of an id's text, enough to tell ids apart in print."""
+    return F.substring(c, 1, length)

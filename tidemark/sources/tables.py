@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,17 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that share this machine's folders import the package (a cluster gets it with --py-files)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoints(spark)
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/tidemark/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def get(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(df[key] == value)
 
