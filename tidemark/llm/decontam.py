@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import LOWER, WORD_BYTES, WORD_CHARS, materialize, small_batches, table
+from .common import LOWER, WORD_BYTES, WORD_CHARS, importable, materialize, sliced, table
 from .fmindex import SEPARATOR, FMIndex
 
 WINDOW = 10
@@ -126,7 +126,7 @@ def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, sample: int, with_
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows, words, size = [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             rows.append(row)
             words.append(words_of(row[2]))
@@ -146,7 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     function. Passes of a larger benchmark meet by (doc_id, hash of the text).
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
     size = items.agg(F.sum(F.length("body"))).first()[0] or 0
     passes = max(1, -(-size // (4 * pass_words)))
@@ -223,7 +223,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
     A document of which the cuts leave no word goes; every other one stays. Each pass of a larger benchmark searches
     the texts as given and hands on the words that it found beside the row; the last one cuts."""
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
     size = items.agg(F.sum(F.length("body"))).first()[0] or 0
     passes = max(1, -(-size // (4 * pass_words)))
@@ -265,7 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
             return pa.RecordBatch.from_arrays(arrays, schema=whole.schema).filter(pa.array(stays))
 
         group, words, size = [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 group.append(batch)
                 words += [words_of(t) for t in batch.column(names.index(text_col)).to_pylist()]

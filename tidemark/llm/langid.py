@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, small_batches, table
+from .common import LOWER, importable, materialize, sliced, table
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 8192
@@ -54,7 +54,7 @@ def train(rows: DataFrame, languages: tuple[str, ...], markup: bool) -> np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text, declared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if declared in languages:
                     sums[languages.index(declared)] += np.bincount(trigrams(text, markup), minlength=BUCKETS)
@@ -73,7 +73,7 @@ def identify(docs: DataFrame, *, text: str | Column = "text", declared: str | Co
     """docs' rows as a struct row_, with lang_ (a language, or und), prob_ and accepted_ (a language, of LEAST_PROB at least).
     host: an address's host name; its last part is the suffix, its last two parts the domain."""
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     col = lambda c: F.col(c) if isinstance(c, str) else c
     name = F.lower(F.coalesce(col(host).cast("string"), F.lit("")))
     rows = docs.select(F.struct("*").alias("row_"), col(text).cast("string").alias("text"), F.lower(F.substring_index(col(declared).cast("string"), "-", 1)).alias("declared"), name.alias("host"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import importable, materialize, sliced, table
 
 UNIT, FILL, RATE, FRAME = 576, 255, 8000, 576
 BANDS = ((1, 24), (24, 72), (72, 144), (144, 289))
@@ -69,10 +69,10 @@ def landmarks(samples: bytes, at_once: int = 2048) -> np.ndarray:
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes doc_id, n_bytes, media (WAV bytes) of each row and returns the written table."""
-    small_batches(docs.sparkSession, 500)
+    importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([to_wav(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -84,7 +84,7 @@ def describe(media: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("landmarks", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             doc_ids, sizes, files = (c.to_pylist() for c in batch.columns)
             rows = []
             for doc, size, file in zip(doc_ids, sizes, files, strict=True):

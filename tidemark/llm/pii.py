@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import importable, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -209,12 +209,12 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, base and spans (kind, start, end)."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_dicts = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
-        for batch in batches:
+        for batch in sliced(batches):
             made = [find(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_dicts(x) for x, _ in made], kind), pa.array([as_dicts(y) for _, y in made], kind)], ["doc_id", "base", "spans"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTES, small_batches, table
+from .common import LOWER, WORD_BYTES, importable, sliced, table
 
 BITS, RANK, MAX_ROWS = 15, 6, 6000
 CUT = 0.3
@@ -118,12 +118,12 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), max_rows: int = MAX_ROWS) -> Machine | None:
     """A machine from at most max_rows rows of labels (their features reach the driver, nothing else); None without rows."""
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.max(F.col(label_col).cast("int")).alias("label_"))
     sample = known.orderBy(F.xxhash64("id_"), "id_").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, label, texts, *more = (c.to_pylist() for c in batch.columns)
             made = [features(t, list(zip(metadata, [m[k] for m in more], strict=True))) for k, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label, pa.int32()), pa.array([p.astype("<i4").tobytes() for p, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], ["id", "label", "place", "value"])
@@ -140,11 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     held = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             _, texts, *more = (c.to_pylist() for c in batch.columns)
             made = [0.5 if held.value is None else held.value.score(*features(t, list(zip(metadata, [m[k] for m in more], strict=True)))) for k, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])

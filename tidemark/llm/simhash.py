@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, small_batches, table
+from .common import LOWER, importable, materialize, sliced, table
 from .graph import connected_components
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -52,11 +52,11 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long); keyed: text_key too, the text's hash."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     kept = ["doc_id", "text_key"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.int64())], [*kept, "fp"])
 
@@ -165,8 +165,6 @@ def _pass(rows: DataFrame, most: int | None) -> DataFrame:
 
 def similar_links(distinct: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """Links u, v between distinct fingerprints (column fp) whose components are those of all links at MOST_BITS or fewer."""
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     first = _pass(variants(distinct), run)
     links = first.where("kind = 0").select("u", "v")
     long_ = first.where("kind = 1")
@@ -221,7 +219,6 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
     kept = made.join(_members(made).select("fp", "component"), "fp").groupBy("component").agg(first)
     kept = materialize(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")), "kept")
-    small_batches(spark)
     chosen = slim.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     if not made.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         chosen = chosen.groupBy("doc_id", "text_key").agg(F.first("row_").alias("row_"))

@@ -21,6 +21,7 @@ sorts first; equal order values keep rows together, in the order of their conten
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh_path, small_batches, table
+from .common import LOWER, fresh_path, importable, sliced, table
 
 DIGEST = 16
 END_ID = 1
@@ -43,7 +44,7 @@ ROLL, MASK, LEAST, MOST = 16, 255, 64, 2048
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONE_MARK = re.compile(r"(?<=[a-z])([,.])(?=[ \n])")
 #: Marks but the apostrophe, which can begin a word's ending for the tokenizer.
-_LAST_MARKS = re.compile(r"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \n])")
+_LAST_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \n])")
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
@@ -80,10 +81,26 @@ class MerkleStream:
         return node
 
 
+# The normaliser and the pattern of the tokenizers whose texts may be parted at blanks and marks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def parts_at_blanks(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, drops blanks and parts letters, digits and marks as Encoder.pieces has it."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    bytewise = len(steps) == 2 and {k: steps[1].get(k) for k in ("type", "add_prefix_space", "use_regex")} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    special = all(t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told.get("added_tokens") or ())
+    return told.get("normalizer") == _NORMALIZER and steps[0] == _SPLIT and bytewise and special and not told.get("truncation") and not told["model"].get("dropout")
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned bytes: 4 for an id, or, packed, `width`. The tokenizer splits at white space and never joins
-    across it, so pieces between blanks and line ends are encoded once and then looked up. Pieces are held in a young
-    and an old table: a full young one becomes the old one, from which a piece that is met again returns.
+    """Ids of texts as little-endian unsigned bytes: 4 for an id, or, packed, `width`. A tokenizer that splits at white
+    space and never joins across it has pieces between blanks and line ends encoded once and then looked up; for any
+    other one whole texts are encoded. Pieces are held in a young and an old table: a full young one becomes the old
+    one, from which a piece that is met again returns.
 
     A plain word (small Latin letters that normalising leaves as they are) is one word to the tokenizer too. Plain words
     are encoded many at a time without its normaliser and pattern, and parted at the ids that end a word."""
@@ -94,7 +111,8 @@ class Encoder:
         self.library, self.held, self.young, self.old = Tokenizer.from_file(path), held, {}, {}
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.plain, self.ends = self._plain_library(path), None
+        self.piecewise = parts_at_blanks(path)
+        self.plain, self.ends = self._plain_library(path) if self.piecewise else None, None
         if self.plain:
             vocabulary = self.library.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -120,7 +138,7 @@ class Encoder:
         marks = _LONE_MARK
         if "<|" not in text:
             text, marks = text.encode().translate(LOWER).decode(), _LAST_MARKS
-        return marks.sub(r" \1", text).replace("\n", " ").split(" ")
+        return marks.sub(r" \g<0>", text).replace("\n", " ").split(" ")
 
     def _learn(self, new: list[str]) -> None:
         plain = [w for w in new if _PLAIN.fullmatch(w)] if self.plain else []
@@ -141,6 +159,8 @@ class Encoder:
         return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.packed(texts)]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
+        if not self.piecewise:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [self.pieces(t or "") for t in texts]
         if len(self.young) > self.held:
             self.young, self.old = {}, self.young
@@ -196,30 +216,28 @@ def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
     fields = [("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("ord1", pa.int64()), ("ord2", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("root", pa.binary())]
     schema = pa.schema(fields)
     end = np.array([END_ID], encoder.kind).tobytes()
-    for batch in batches:
+    for batch in sliced(batches, 500):
         doc_ids, ord1, ord2, texts = (batch.column(k).to_pylist() for k in range(4))
-        for at in range(0, len(texts), 250):
-            streams = [x + end for x in encoder.packed(texts[at : at + 250])]
-            starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in streams])))
-            packed = b"".join(streams)
-            ids = np.frombuffer(packed, encoder.kind)
-            rows = []
-            for k, ends in enumerate(cuts(ids, starts)):
-                names, last = [], int(starts[k])
-                sizes = np.diff([last, *ends]).astype("<u4").tobytes()
-                for stop in ends:
-                    payload = packed[last * encoder.width : stop * encoder.width]
-                    name, last = digest(payload), stop
-                    names.append(name)
-                    if name not in given:
-                        if len(given) > 100_000:
-                            given.clear()
-                        given.add(name)
-                        rows.append((1, name, payload, None, None, None, None, None, None))
-                doc = at + k
-                own = digest(repr((doc_ids[doc], ord1[doc], ord2[doc])).encode())  # deals recipes out evenly
-                rows.append((0, own, b"".join(names), doc_ids[doc], ord1[doc], ord2[doc], int(starts[k + 1] - starts[k]), sizes, merkle(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        streams = [x + end for x in encoder.packed(texts)]
+        starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in streams])))
+        packed = b"".join(streams)
+        ids = np.frombuffer(packed, encoder.kind)
+        rows = []
+        for doc, ends in enumerate(cuts(ids, starts)):
+            names, last = [], int(starts[doc])
+            sizes = np.diff([last, *ends]).astype("<u4").tobytes()
+            for stop in ends:
+                payload = packed[last * encoder.width : stop * encoder.width]
+                name, last = digest(payload), stop
+                names.append(name)
+                if name not in given:
+                    if len(given) > 100_000:
+                        given.clear()
+                    given.add(name)
+                    rows.append((1, name, payload, None, None, None, None, None, None))
+            own = digest(repr((doc_ids[doc], ord1[doc], ord2[doc])).encode())  # deals recipes out evenly
+            rows.append((0, own, b"".join(names), doc_ids[doc], ord1[doc], ord2[doc], int(starts[doc + 1] - starts[doc]), sizes, merkle(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +287,7 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, root: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", order: tuple[Column, Column] | None = None) -> str:
     """Writes the three tables under root and returns it. order: two long columns; without it documents go in ascending id_col."""
-    small_batches(docs.sparkSession, 500)
+    importable(docs.sparkSession)
     first, second = order or (F.col(id_col).cast("long"), F.lit(0).cast("long"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), first.cast("long").alias("ord1"), second.cast("long").alias("ord2"), F.col(text_col).alias("text"))
     made = slim.mapInArrow(lambda b: encode_partition(b, tokenizer), "kind int, digest binary, payload binary, doc_id bigint, ord1 bigint, ord2 bigint, n_tokens bigint, sizes binary, root binary")
@@ -296,6 +314,7 @@ def chunks_of(spark: SparkSession, root: str) -> DataFrame:
 # CRC-32 of A+B is the CRC of A, carried over the bytes of B, xor the CRC of B.
 
 
+@lru_cache(maxsize=1)
 def _shift_tables(levels: int = 40) -> np.ndarray:
     """[k, byte, value]: what carrying a CRC over 2**k zero bytes does to each byte of it."""
     one = np.arange(256, dtype=np.uint32)
@@ -312,9 +331,9 @@ def _carry(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
     return tables[0][crc & 255] ^ tables[1][(crc >> 8) & 255] ^ tables[2][(crc >> 16) & 255] ^ tables[3][crc >> 24]
 
 
-def shift_crc(crc: np.ndarray, count: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
+def shift_crc(crc: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Each CRC as it stands in a stream with count bytes after it."""
-    tables = _shift_tables() if tables is None else tables
+    tables = _shift_tables()
     crc, count, level = crc.astype(np.uint32), count.astype(np.int64), 0
     while count.any():
         odd = (count & 1).astype(bool)
@@ -338,31 +357,36 @@ def read_back(spark: SparkSession, root: str) -> DataFrame:
     recipes = spark.read.parquet(f"{root}/recipes")
     shards = spark.read.parquet(f"{root}/manifest")
     check_manifest(recipes, shards)
-    wide = chunks_of(spark, root)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if any(digest(p) != n for n, p in zip(names, payloads, strict=True)):
                 raise ValueError("a chunk does not match its name")
-            sums = [zlib.crc32(np.frombuffer(p, held).astype("<u4").tobytes()) for p in payloads]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array([len(p) // width for p in payloads], pa.int64())], ["digest", "crc", "size"])
+            sizes = np.fromiter(map(len, payloads), np.int64, len(payloads)) // width
+            wide = memoryview(np.frombuffer(b"".join(payloads), held).astype("<u4").tobytes())
+            ends = (4 * np.cumsum(sizes)).tolist()
+            sums = [zlib.crc32(wide[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), pa.array(sizes)], ["digest", "crc", "size"])
 
     width = int(spark.read.parquet(f"{root}/format").first()["width"])
     held = "<u2" if width == 2 else "<u4"
-    known = wide.mapInArrow(verify, "digest binary, crc bigint, size bigint")
+    known = chunks_of(spark, root).mapInArrow(verify, "digest binary, crc bigint, size bigint")
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, line, digests, sizes, roots, n_tokens = (batch.column(k).to_pylist() for k in range(6))
-            named = [_names(*x) for x in zip(roots, digests, sizes, n_tokens, strict=True)]
-            counts = [len(x) for x in named]
-            after = [(lambda n: 4 * (n.sum() - np.cumsum(n)))(np.frombuffer(s, "<u4").astype(np.int64)) for s in sizes]
-            names = [n for x in named for n in x]
-            flat = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(shard, np.int32), counts)), pa.array(np.repeat(np.array(line, np.int64), counts)), pa.array(names, pa.binary()), pa.array(flat(after)), pa.array(flat([np.frombuffer(s, "<u4").astype(np.int64) for s in sizes]))], ["shard", "line", "digest", "after", "planned"])
-
-    parts = recipes.select("shard", "line", "digests", "sizes", "root", "n_tokens").mapInArrow(unroll, "shard int, line bigint, digest binary, after bigint, planned bigint")
+            digests, sizes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            counts = np.fromiter(map(len, sizes), np.int64, len(sizes)) // 4
+            planned = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+            before = np.cumsum(planned) - planned
+            ends = np.cumsum(counts)
+            total = np.append(before, planned.sum())[ends]  # ids of all documents up to each one's end
+            after = 4 * (np.repeat(total, counts) - before - planned)
+            names = pa.Array.from_buffers(pa.binary(DIGEST), len(planned), [None, pa.py_buffer(b"".join(digests))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner := pa.array(np.repeat(np.arange(len(counts)), counts))), batch.column(1).take(owner), names, pa.array(after), pa.array(planned)], ["shard", "line", "digest", "after", "planned"])
+
+    # check_manifest has held these recipes' names and sizes against their roots
+    parts = recipes.select("shard", "line", "digests", "sizes").mapInArrow(unroll, "shard int, line bigint, digest binary, after bigint, planned bigint")
 
     @F.pandas_udf("long")
     def carried(crc, after):
