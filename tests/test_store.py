@@ -154,6 +154,23 @@ def test_live_query_fills_gaps_and_bears_replays(context, tmp_path):
     assert gone == [sorted(("remove", ids[f"y{k}"]) for k in (2023, 2024))]
 
 
+def test_running_query_signals_its_versions(context, tmp_path):
+    from tidemark.errors import EngineError
+
+    ids = put(context, a={"year": 1}, b={"year": 5})
+    query = context.query("album", "year > 2", str(tmp_path / "live"))
+    size = query.signal.map(lambda version: query.result(version).count())
+    assert size.get() == 1
+    change = context.begin()
+    change.edit("album", ids["a"], year=9)
+    change.commit()
+    assert query.signal.wait(lambda version: version == 2, 60)
+    query.stop()
+    assert size.get() == 2
+    with pytest.raises(EngineError):
+        context.get("album", "none")
+
+
 @pytest.mark.parametrize("overwrite", [False, True])
 def test_follow_a_table(spark, tmp_path, overwrite):
     source, state, seen = str(tmp_path / "in"), str(tmp_path / "state"), []

@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.errors import EngineError
+
 CHUNK_ROWS = 200_000
 
 
-class CycleError(ValueError):
+class CycleError(EngineError, ValueError):
     """Events that are their own ancestors."""
 
 

@@ -15,6 +15,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.errors import EngineError
 from tidemark.operators.compile import Compiler
 from tidemark.plans import selection as S
 
@@ -23,7 +24,7 @@ PRIVILEGED = {"privileged": True}
 EVERYTHING = "*"
 
 
-class AccessDenied(PermissionError):
+class AccessDenied(EngineError, PermissionError):
     """No credential allows it."""
 
 

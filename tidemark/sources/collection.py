@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.errors import EngineError
 from tidemark.functions import casts
 from tidemark.operators import eventlog
 from tidemark.operators.compile import select
@@ -38,7 +39,7 @@ EVENTS = T.StructType([
 ])
 
 
-class NotFound(LookupError):
+class NotFound(EngineError, LookupError):
     """No entity has the id."""
 
 

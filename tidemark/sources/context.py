@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import EngineError
 from tidemark.operators.compile import select
 from tidemark.operators.policy import Agent
 from tidemark.plans import selection as S
@@ -21,7 +22,7 @@ from tidemark.sources.collection import EVENTS, Collection, Model, NotFound, fol
 __all__ = ["Context", "EntityTransaction", "EventTable", "MatchArgs", "NotFound", "ResultSet", "Transaction", "UnknownCollection", "event_id", "nocache"]
 
 
-class UnknownCollection(LookupError):
+class UnknownCollection(EngineError, LookupError):
     """No table or collection has the name."""
 
 
@@ -151,6 +152,23 @@ class Context:
     def begin(self, author: str = "") -> EntityTransaction:
         return EntityTransaction(self, author)
 
+    def query(self, name: str, what: str | S.Selection, checkpoint: str, on_change: Callable[[DataFrame, int], None] | None = None, **options):
+        """A live query that runs: its first rows are there when this returns, and its signal tells of each version
+        that changed something."""
+        from tidemark.streaming.signals import Signal
+
+        told = Signal(0)
+
+        def sink(rows: DataFrame, version: int) -> None:
+            if on_change is not None:
+                on_change(rows, version)
+            told.set(version)
+
+        made = self.live(name, what, sink, checkpoint, **options)
+        made.signal = told
+        made.start()
+        return made
+
     def live(self, name: str, what: str | S.Selection, sink: Callable[[DataFrame, int], None], checkpoint: str, **options):
         """A live query over a collection: see streaming.live.LiveQuery."""
         from tidemark.streaming.live import LiveQuery
