@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidemark.operators import dag
 from tidemark.sources.tables import ensure_checkpoints, importable
 
-#: Rows of an entity's log that one task passes at most.
+#: Rows of an entity's events that one task passes at most.
 MOST_EVENTS = 20_000_000
 
 
@@ -75,10 +75,9 @@ def _read(table: pa.Table) -> tuple[dag.Dag, pa.Array, pa.Array, np.ndarray]:
     return dag.Dag(entity[real], event[real], parent[real]), entities, events, entity
 
 
-def _split(events: DataFrame, parents: DataFrame, most: int) -> tuple[DataFrame, DataFrame] | None:
-    """The entities with more rows than one task should pass, as two logs (small, large) flags; None if there are none."""
-    sizes = events.select("entity").union(parents.select("entity")).groupBy("entity").count().where(F.col("count") > most).select("entity")
-    sizes = sizes.checkpoint()
+def _large(events: DataFrame, most: int) -> DataFrame | None:
+    """The entities with more rows than one task should pass; None if there are none."""
+    sizes = events.groupBy("entity").count().where(F.col("count") > most).select("entity").checkpoint()
     return None if sizes.isEmpty() else sizes
 
 
@@ -93,7 +92,7 @@ def generations(events: DataFrame, parents: DataFrame, most_events: int = MOST_E
         graph, entities, names, _ = _read(table)
         yield pa.table([entities.take(pa.array(graph.entity)), names.take(pa.array(graph.event)), pa.array(graph.generation)], names=["entity", "event", "generation"])
 
-    large = _split(events, parents, most_events)
+    large = _large(events.select("entity"), most_events)
     if large is None:
         return _run(_graph(events, parents), kernel, schema)
     keep = lambda df, how: df.join(F.broadcast(large), "entity", how)  # noqa: E731  (few: each has most_events rows)
@@ -193,7 +192,7 @@ def lww_state(events: DataFrame, parents: DataFrame, most_events: int = MOST_EVE
         yield left.take(pa.array(np.flatnonzero(np.append(group[1:] != group[:-1], True)))).select(schema.names)
 
     rows = events.select("entity", "event", "property", "value")
-    large = _split(rows, parents, most_events)
+    large = _large(rows.select("entity"), most_events)
     if large is None:
         return _run(_graph(rows, parents, "property", "value"), kernel, schema)
     keep = lambda df, how: df.join(F.broadcast(large), "entity", how)

@@ -126,7 +126,8 @@ paths AS (SELECT entity, event, parent AS ancestor, 1 AS depth FROM parents UNIO
 
 def _log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ensure_checkpoints(spark)
-    return eventlog.forked_log(table(spark, d, "events"))
+    events, parents = eventlog.forked_log(table(spark, d, "events"))
+    return events.checkpoint(), parents.checkpoint()
 
 
 _add("log_generations", lambda spark, d: eventlog.generations(*_log(spark, d)), _LOG + "SELECT r.entity, r.event, CAST(coalesce(max(p.depth), 0) AS BIGINT) AS generation FROM rows_ r LEFT JOIN paths p ON p.entity = r.entity AND p.event = r.event GROUP BY ALL")
@@ -432,22 +433,23 @@ _KINDS = ("click", "error", "purchase", "signup", "view")
 USER = Model("user", {k: Property("f64") for k in _KINDS})
 
 
-def _events(spark, d, where="TRUE"):
-    """The log as event rows: ids as text of equal length, so that they order as the numbers do."""
-    events, parents = eventlog.forked_log(table(spark, d, "events"))
+def _events(spark, d):
+    """The log as event rows, and k, the place of an event: ids as text of equal length, so that they order as the
+    numbers do."""
+    events, parents = _log(spark, d)
     above = parents.groupBy("event").agg(F.collect_list(F.lpad(F.col("parent").cast("string"), 12, "0")).alias("above"))
     place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     placed = table(spark, d, "events").select(F.col("event_id").alias("event"), place.alias("k"))
-    rows = events.join(above, "event", "left").join(placed, "event").where(where)
+    rows = events.join(above, "event", "left").join(placed, "event")
     made = {"event_id": F.lpad(F.col("event").cast("string"), 12, "0"), "entity_id": F.col("entity").cast("string"), "kind": F.when(F.col("above").isNull(), "genesis").otherwise("update"), "parents": F.coalesce("above", F.expr("cast(array() as array<string>)")), "added": F.array(F.lit("user")), "property": F.col("property"), "backend": F.lit("lww"), "value": F.get_json_object(F.to_json(F.struct("value")), "$.value")}
-    return rows.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS))
+    return rows.select("k", *(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS)).checkpoint()
 
 
 def _collection(spark, d):
     """Two commits: the first 10 events of each user, then all others."""
-    made = Collection(spark, scratch(spark, "user"), USER)
+    made, log = Collection(spark, scratch(spark, "user"), USER), _events(spark, d)
     for where in ("k < 10", "k >= 10"):
-        rows = _events(spark, d, where)
+        rows = log.where(where)
         made.add_events(rows)
         made.rebuild(rows.select("entity_id"))
     return made
@@ -487,7 +489,7 @@ def _idempotent(spark, d):
     """Events that are added twice, by their id and by their entity."""
     made = Collection(spark, scratch(spark, "user"), USER)
     for _ in range(2):
-        made.add_events(_events(spark, d, "entity < 20"))
+        made.add_events(_events(spark, d).where("CAST(entity_id AS INT) < 20"))
     points = made.get_events([f"{k:012d}" for k in range(0, 500, 5)] + ["nosuch"])
     return points.select(F.lit("point").alias("read"), "event_id", "property").unionByName(made.entity_events("7").select(F.lit("entity").alias("read"), "event_id", "property"))
 

@@ -94,6 +94,7 @@ def _typed(text: Column, prop: Property) -> Column:
 def fold(events: DataFrame, model: Model) -> DataFrame:
     """The states of events' entities: id, head (ascending), models, and a column for each property of the model."""
     ensure_checkpoints(events.sparkSession)
+    events = events.checkpoint()  # read and freed of repeated rows once, for all that follows
     parents = parents_of(events)
     names = events.select(F.col("entity_id").alias("entity"), F.col("event_id").alias("event")).distinct()
     states = eventlog.clocks_of(names, parents)
