@@ -1,12 +1,14 @@
 """Operator 6, license scan by a positional rare-token index. DataFrame expressions only.
 
-Licence templates are indexed by their rarer words: word -> (template, place). Of each file the TOP licence words with
-the highest IDF (over all files: the fewest files) are looked up; a posting puts its template at the word's place less
-the template's, and a template is a candidate where enough looked-up words agree on one such start. A candidate
-counts if the file has the template's mandatory phrase. Base phrases are matched besides, in every file.
+Licence templates are indexed by their words: word -> (template, place). Of each file and template the words that both
+have are ranked by IDF (over all files: the fewest files first), and the TOP highest are looked up; a posting puts its
+template at the word's place less the template's, and a template is a candidate where enough looked-up words agree on
+one such start. A candidate counts if the file has the template's mandatory phrase. No template takes lookups from
+another, so a file with many licences keeps all its labels. Base phrases are matched besides, in every file.
 
-The templates are fixed values, so the index is of fixed size and is broadcast; files are joined only by their own
-key, and only files that have a licence word reach a shuffle with more than their counts.
+The templates are fixed values, so the index is of fixed size and is broadcast. Texts are read once: files without any
+mandatory phrase, which can have no label, write their counts and no places, and only files with one reach a shuffle.
+Files are told apart by a number given when they are written.
 
 Defined results: null is the empty text; words are runs of ASCII letters and digits and of all characters past ASCII,
 A-Z lower-cased; places count words from 0; repeated rows get equal results; an empty table gives an empty result.
@@ -15,6 +17,7 @@ A-Z lower-cased; places count words from 0; repeated rows get equal results; an
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -32,32 +35,37 @@ TEMPLATES = [
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "attribution 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
     ("lgpl-3", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3", "gnu lesser general public license"),
+    ("agpl-3", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    ("bsl-1", "distributed under the boost software license version 1 0", "boost software license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
 
-# Template words too common to look up.
-COMMON = {"a", "above", "all", "and", "any", "are", "as", "at", "by", "can", "deal", "either", "for", "form", "forms", "in", "including", "into", "is", "it", "later", "may", "not", "of", "on", "or", "person", "person", "provided", "rights", "that", "the", "this", "to", "under", "use", "v", "with", "work", "you", "your"}
-
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KELVIN = "\u212a"  # the one character past ASCII whose lower case is in ASCII
 
 
 def postings() -> list[tuple[str, int, int]]:
-    """word, template, place of every rarer word of the templates."""
-    return [(w, t, q) for t, (_, text, _) in enumerate(TEMPLATES) for q, w in enumerate(text.split()) if w not in COMMON]
+    """word, template, place of every word of the templates."""
+    return [(w, t, q) for t, (_, text, _) in enumerate(TEMPLATES) for q, w in enumerate(text.split())]
 
 
 def needed() -> list[tuple[int, str, int, int]]:
     """template, label, the words that must agree, the words that can."""
     rows = []
     for t, (label, text, _) in enumerate(TEMPLATES):
-        size = min(TOP, len({w for w in text.split() if w not in COMMON}))
+        size = min(TOP, len(set(text.split())))
         rows.append((t, label, min(AGREE, size), size))
     return rows
 
@@ -71,19 +79,21 @@ def _phrase_starts(phrase: str) -> Column:
 
 
 def read_files(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, n_words, base (places), base_labels, keys (templates whose phrase is there), hits (licence words and places)."""
-    vocabulary = sorted({w for w, _, _ in postings()})
+    """doc_id, key (a number of the row), n_words, base (places), base_labels, keys (templates whose phrase is there),
+    known (template words that are there), hits (all their places, in files with a key)."""
+    vocabulary = F.array(*(F.lit(w) for w in sorted({w for w, _, _ in postings()})))
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = F.lower(F.replace(text, F.lit(KELVIN), F.lit("ж")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.regexp_extract_all(plain, F.lit(WORDS), F.lit(0)).alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("key"), F.regexp_extract_all(plain, F.lit(WORDS), F.lit(0)).alias("words"))
     rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     none = F.expr("cast(array() as array<int>)")
-    starts = rows.select("doc_id", "key", "words", "line", *(F.coalesce(_phrase_starts(p), none).alias(f"b{k}") for k, p in enumerate(BASE)))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary))
-    found = F.when(F.arrays_overlap("words", F.array(*map(F.lit, vocabulary))), hits)
+    keys = F.array_compact(F.array(*(F.when(F.contains("line", F.lit(f" {key} ")), F.lit(t)) for t, (_, _, key) in enumerate(TEMPLATES))))
+    starts = rows.select("doc_id", "key", "words", keys.alias("keys"), *(F.coalesce(_phrase_starts(p), none).alias(f"b{k}") for k, p in enumerate(BASE)))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(F.col("known"), h["w"]))
     label_list = F.array(*(F.when(F.size(f"b{k}") > 0, F.lit(x)) for k, x in enumerate(BASE.values())))
-    keys = F.array(*(F.when(F.contains("line", F.lit(f" {key} ")), F.lit(t)) for t, (_, _, key) in enumerate(TEMPLATES)))
-    return starts.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.flatten(F.array(*(f"b{k}" for k in range(len(BASE))))).alias("base"), F.array_compact(label_list).alias("base_labels"), F.array_compact(keys).alias("keys"), F.coalesce(found, F.expr("cast(array() as array<struct<w:string,i:int>>)")).alias("hits"))
+    known = starts.withColumn("known", F.array_intersect(vocabulary, "words"))
+    hits = F.coalesce(F.when(F.size("keys") > 0, places), F.expr("cast(array() as array<struct<w:string,i:int>>)"))
+    return known.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.flatten(F.array(*(f"b{k}" for k in range(len(BASE))))).alias("base"), F.array_compact(label_list).alias("base_labels"), "keys", "known", hits.alias("hits"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,16 +101,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     score: the share of a template's looked-up words that agree, of the best template; 1 with a base phrase; else 0."""
     spark = docs.sparkSession
     files = materialize(read_files(docs, id_col, text_col), "license")
-    held = files.where(F.size("hits") > 0).select("key", "keys", "hits")
     # one number for each word of the templates
-    seen = held.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("files")).collect()
-    files_of = F.create_map(*(F.lit(x) for r in sorted(seen) for x in (r["w"], r["files"]))) if seen else F.expr("map('', 0L)")
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda w: F.struct(files_of[w].alias("files"), w.alias("w"))))
-    chosen = held.withColumn("top", F.transform(F.slice(ranked, 1, TOP), lambda x: x["w"])).select("key", "keys", F.explode(F.filter("hits", lambda h: F.array_contains("top", h["w"]))).alias("h"))
-    index = F.broadcast(spark.createDataFrame(postings(), "word string, template int, place int"))
+    seen = files.select(F.explode("known").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("files")).collect()
+    counts = {r["w"]: r["files"] for r in seen}
+    index = F.broadcast(spark.createDataFrame([(w, t, q, counts.get(w, 0)) for w, t, q in postings()], "word string, template int, place int, files bigint"))
     bounds = F.broadcast(spark.createDataFrame(needed(), "template int, label string, least int, most int"))
-    met = chosen.join(index, F.col("h.w") == F.col("word")).where(F.array_contains("keys", F.col("template")))
-    agreed = met.groupBy("key", "template", (F.col("h.i") - F.col("place")).alias("start")).agg(F.size(F.collect_set("word")).alias("agree"))
+    held = files.where(F.size("keys") > 0).select("key", "keys", F.explode("hits").alias("h"))
+    met = held.join(index, F.col("h.w") == F.col("word")).where(F.array_contains("keys", F.col("template")))
+    rank = F.dense_rank().over(W.partitionBy("key", "template").orderBy("files", "word"))
+    chosen = met.select("key", "template", "word", (F.col("h.i") - F.col("place")).alias("start"), rank.alias("rank")).where(F.col("rank") <= TOP)
+    agreed = chosen.groupBy("key", "template", "start").agg(F.size(F.collect_set("word")).alias("agree"))
     verified = agreed.join(bounds, "template").where("agree >= least")
     named = verified.groupBy("key").agg(F.collect_set("label").alias("more"), F.max(F.col("agree") / F.col("most")).alias("cover"))
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.expr("cast(array() as array<string>)"))))
@@ -131,13 +141,12 @@ mandatory(template, phrase) AS (VALUES {_values((t, key) for t, (_, _, key) in e
 every AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
 hits AS (SELECT * FROM every WHERE word IN (SELECT word FROM postings)),
 files AS (SELECT word, count(DISTINCT rid) AS files FROM hits GROUP BY word),
-ranked AS (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY files, word) AS k FROM (SELECT DISTINCT rid, word FROM hits) JOIN files USING (word)),
+keyed AS (SELECT d.rid, y.template FROM docs d JOIN mandatory y ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || y.phrase || ' ')),
+ranked AS (SELECT rid, template, word, row_number() OVER (PARTITION BY rid, template ORDER BY files, word) AS k FROM (SELECT DISTINCT k.rid, k.template, h.word FROM keyed k JOIN hits h USING (rid) JOIN postings p ON p.template = k.template AND p.word = h.word) JOIN files USING (word)),
 met AS (
   SELECT h.rid, p.template, h.i - p.place AS start, count(DISTINCT h.word) AS agree
-  FROM hits h JOIN ranked r ON h.rid = r.rid AND h.word = r.word AND r.k <= {TOP} JOIN postings p ON p.word = h.word GROUP BY ALL),
-verified AS (
-  SELECT m.rid, n.label, m.agree / n.most_ AS cover FROM met m JOIN needed n USING (template) JOIN mandatory y USING (template) JOIN docs d ON d.rid = m.rid
-  WHERE m.agree >= n.least_ AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || y.phrase || ' ')),
+  FROM hits h JOIN ranked r ON h.rid = r.rid AND h.word = r.word AND r.k <= {TOP} JOIN postings p ON p.word = h.word AND p.template = r.template GROUP BY ALL),
+verified AS (SELECT m.rid, n.label, m.agree / n.most_ AS cover FROM met m JOIN needed n USING (template) WHERE m.agree >= n.least_),
 covers AS (SELECT rid, max(cover) AS cover FROM verified GROUP BY rid),
 labelled AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM verified) GROUP BY rid),
 base_labelled AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT rid, label FROM base) GROUP BY rid)
