@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import LOWER, WORD_BYTES, WORD_CHARS, importable, materialize, sliced, table
+from .common import LOWER, WORD_BYTES, WORD_CHARS, ready, sliced, table
 from .fmindex import SEPARATOR, FMIndex
 
 WINDOW = 10
-#: Words of benchmark text searched in one pass, so that what is broadcast stays under some 40 MB.
-PASS_WORDS = 2_000_000
+#: Words of benchmark text searched in one pass: its windows are 40 bytes each, its distinct words some 100, so that a
+#: broadcast stays under 70 MB and the driver under 300 MB.
+PASS_WORDS = 500_000
 #: Words of a shard; bounds a worker's memory.
 SHARD_WORDS = 400_000
 
 SPAN = "struct<word_start:bigint,word_end:bigint,char_start:bigint,char_end:bigint>"
-SCHEMA = f"doc_id bigint, text_key bigint, n_words bigint, spans array<{SPAN}>, item_ids array<string>, clean_text string"
+SCHEMA = f"doc_id bigint, n_words bigint, spans array<{SPAN}>, item_ids array<string>, clean_text string"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,21 +39,35 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of items, as symbols, by length."""
+    """The distinct windows of a block of items, as symbols, by length: lines (a window each), and in owners, from
+    bounds[k] to bounds[k + 1], the items of window k."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        lines: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(p) for p in owners}):
-            chosen = [p for p in owners if len(p) == size]
-            self.by_length[size] = (np.array(chosen, np.int64), [sorted(owners[p]) for p in chosen])
+            words = words_of(text)
+            if words:
+                ids = np.fromiter((self.symbol.setdefault(w, len(self.symbol) + 1) for w in words), np.int32, len(words))
+                size = min(window, len(ids))
+                made = np.lib.stride_tricks.sliding_window_view(ids, size)
+                lines.setdefault(size, []).append(made)
+                owners.setdefault(size, []).append(np.full(len(made), number[item], np.int32))
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted(lines):
+            distinct, which = np.unique(np.concatenate(lines.pop(size)), axis=0, return_inverse=True)
+            pairs = np.unique(which.reshape(-1).astype(np.int64) * len(self.items) + np.concatenate(owners.pop(size)))
+            bounds = np.searchsorted(pairs // len(self.items), np.arange(len(distinct) + 1))
+            self.by_length[size] = (distinct, (pairs % len(self.items)).astype(np.int32), bounds)
         self.shortest = min(self.by_length, default=0)
 
+    def names(self, size: int, line: int) -> list[str]:
+        _, owners, bounds = self.by_length[size]
+        return [self.items[k] for k in owners[bounds[line] : bounds[line + 1]].tolist()]
+
 
 def shard_hits(words: list[list[bytes]], phrases: Phrases, sample: int) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Of the documents of a shard: where each begins, which words are hit, and the items found in each."""
@@ -85,8 +100,8 @@ def shard_hits(words: list[list[bytes]], phrases: Phrases, sample: int) -> tuple
     place = np.zeros(len(text), np.int64)
     place[at] = kept
     index = FMIndex(text, len(phrases.symbol), sample)
-    for size, (lines, owners) in phrases.by_length.items():
-        low, high = index.search(lines)
+    for size, (lines, _, _) in phrases.by_length.items():
+        low, high = index.search(lines.astype(np.int64))
         some = np.flatnonzero(high > low)
         if not len(some):
             continue
@@ -97,7 +112,7 @@ def shard_hits(words: list[list[bytes]], phrases: Phrases, sample: int) -> tuple
         np.add.at(hit, first + size, -1)
         doc = np.searchsorted(starts, first, "right") - 1
         for pair in np.unique(doc * len(lines) + np.repeat(some, counts)):
-            found[pair // len(lines)].update(owners[pair % len(lines)])
+            found[pair // len(lines)].update(phrases.names(size, int(pair % len(lines))))
     return starts, np.cumsum(hit[:total]) > 0, found
 
 
@@ -116,20 +131,37 @@ def cut(text: str, spans: list[dict]) -> str:
     return "\n".join([*out, text[at:]]) if spans else text
 
 
-def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, sample: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("word_start", "word_end", "char_start", "char_end")]))), ("item_ids", pa.list_(pa.string())), ("clean_text", pa.string())])
+def _edges(covered: np.ndarray) -> list[int]:
+    """Begins and ends of the runs of covered words."""
+    return np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).tolist()
+
+
+def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, sample: int, last: bool, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """In: doc_id, text, and what earlier passes found: edges (begins and ends of words) and item_ids. Out: the same with
+    this pass's findings, or, from the last one, rows of SCHEMA."""
+    carried = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("edges", pa.list_(pa.int64())), ("item_ids", pa.list_(pa.string()))])
+    told = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("word_start", "word_end", "char_start", "char_end")]))), ("item_ids", pa.list_(pa.string())), ("clean_text", pa.string())])
 
     def flush(rows: list[tuple], words: list[list[bytes]]) -> pa.RecordBatch:
         starts, covered, found = shard_hits(words, phrases, sample)
-        spans = [spans_of(text, covered[a:b]) if items else [] for (_, _, text), a, b, items in zip(rows, starts[:-1], starts[1:], found, strict=True)]
-        columns = [[r[0] for r in rows], [r[1] for r in rows], [len(w) for w in words], spans, [sorted(x) for x in found], [cut(r[2], s) if with_text and r[2] is not None else None for r, s in zip(rows, spans, strict=True)]]
+        for k, (_, _, edges, items) in enumerate(rows):
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                covered[starts[k] + a : starts[k] + b] = True
+            found[k].update(items)
+        parts = [covered[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        items = [sorted(x) for x in found]
+        if last:
+            spans = [spans_of(r[1], part) if named else [] for r, part, named in zip(rows, parts, items, strict=True)]
+            schema, columns = told, [[r[0] for r in rows], [len(w) for w in words], spans, items, [cut(r[1], s) if with_text and r[1] is not None else None for r, s in zip(rows, spans, strict=True)]]
+        else:
+            schema, columns = carried, [[r[0] for r in rows], [r[1] for r in rows], [_edges(p) for p in parts], items]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows, words, size = [], [], 0
     for batch in sliced(batches):
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             rows.append(row)
-            words.append(words_of(row[2]))
+            words.append(words_of(row[1]))
             size += len(words[-1])
             if size >= SHARD_WORDS or len(rows) >= 20_000:
                 yield flush(rows, words)
@@ -138,56 +170,30 @@ def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, sample: int, with_
         yield flush(rows, words)
 
 
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_words: int) -> Iterator[tuple[object, bool]]:
+    """The phrases of each pass, broadcast, and whether it is the last; one at a time reaches the driver."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.length("body"))).first()[0] or 0
+    count = max(1, -(-size // (4 * pass_words)))
+    for k in range(count):
+        block = items if count == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k)
+        yield spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window)), k == count - 1
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, sample: int = 8, with_text: bool = True, pass_words: int = PASS_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans (words and code points, ends exclusive, merged), item_ids (sorted),
     clean_text (the text without its spans; null stays null).
 
-    One pass over the documents for each pass_words of benchmark text; the windows of a pass are broadcast with the
-    function. Passes of a larger benchmark meet by (doc_id, hash of the text).
+    A larger benchmark is searched pass_words at a time; each pass hands its findings on beside the row, in the same
+    task, and the last one merges them. Nothing is shuffled.
     """
-    spark = docs.sparkSession
-    importable(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    passes = max(1, -(-size // (4 * pass_words)))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    parts = []
-    for k in range(passes):
-        block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
-        held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
-        parts.append(slim.mapInArrow(lambda batches, held=held, keep=with_text and passes == 1: scan(batches, held.value, sample, keep), SCHEMA))
-    if passes == 1:
-        return parts[0].drop("text_key")
-    return _merged(parts, slim, with_text)
-
-
-def _merged(parts: list[DataFrame], slim: DataFrame, with_text: bool) -> DataFrame:
-    """Spans of several passes, merged by document. Copies of a row find the same spans, so a key's rows may be joined to one."""
-    every = materialize(parts[0].select("doc_id", "text_key", "n_words", "spans", "item_ids"), "decontam")
-    hits = every.where(F.size("item_ids") > 0)
-    for part in parts[1:]:
-        hits = hits.unionByName(part.select("doc_id", "text_key", "n_words", "spans", "item_ids").where(F.size("item_ids") > 0))
-    one = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"))
-
-    @F.pandas_udf(f"array<{SPAN}>")
-    def merge(spans):
-        def one_row(xs):
-            out: list[dict] = []
-            for x in sorted((dict(x) for x in xs), key=lambda s: (s["word_start"], s["word_end"])):
-                if out and x["word_start"] <= out[-1]["word_end"]:
-                    if x["word_end"] > out[-1]["word_end"]:
-                        out[-1] |= {"word_end": x["word_end"], "char_end": x["char_end"]}
-                else:
-                    out.append(x)
-            return out
-
-        return spans.map(one_row)
-
-    one = one.select("doc_id", "text_key", merge("found").alias("spans"), "items")
-    left = slim.withColumn("n_words", F.size(F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long"))
-    joined = left.withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("long"))).alias("l").join(one.alias("r"), (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.text_key") == F.col("r.text_key")), "left")
-    text_cut = F.pandas_udf(lambda t, s: t.combine(s, lambda a, b: cut(a, [dict(x) for x in b]) if a is not None and b is not None else a), "string")
-    return joined.select(F.col("l.doc_id").alias("doc_id"), F.col("l.n_words").cast("long").alias("n_words"), F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("item_ids"), (text_cut("l.text", "spans") if with_text else F.lit(None).cast("string")).alias("clean_text"))
+    ready(docs.sparkSession)
+    none = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<string>)")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), none[0].alias("edges"), none[1].alias("item_ids"))
+    for held, last in _passes(benchmark, item_col, item_text_col, window, pass_words):
+        out = out.mapInArrow(lambda batches, held=held, last=last: scan(batches, held.value, sample, last, with_text), SCHEMA if last else "doc_id bigint, text string, edges array<bigint>, item_ids array<string>")
+    return out
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
     """The rows of docs, all columns, with the spans cut out of text_col (length_col, if there is one, follows).
     A document of which the cuts leave no word goes; every other one stays. Each pass of a larger benchmark searches
     the texts as given and hands on the words that it found beside the row; the last one cuts."""
-    spark = docs.sparkSession
-    importable(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    passes = max(1, -(-size // (4 * pass_words)))
+    ready(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     lengths = length_col if length_col in names else None
     carried = "_words_found"
@@ -244,7 +246,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
                         covered[starts[k] + a : starts[k] + b] = True
                 whole = whole.drop_columns([carried])
             if not last:
-                edges = [np.flatnonzero(np.diff(covered[a:b].astype(np.int8), prepend=0, append=0)).tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                edges = [_edges(covered[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
                 return pa.RecordBatch.from_arrays([*whole.columns, pa.array(edges, pa.list_(pa.int64()))], [*whole.schema.names, carried])
             hit = np.unique(np.searchsorted(starts, np.flatnonzero(covered), "right") - 1).tolist()
             if not hit:
@@ -276,9 +278,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", leng
         if group:
             yield flush(group, words)
 
-    for k in range(passes):
-        block = items if passes == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
-        held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
-        last = k == passes - 1
+    for held, last in _passes(benchmark, item_col, item_text_col, window, pass_words):
         docs = docs.mapInArrow(lambda batches, held=held, last=last: run(batches, held, last), schema if last else wide)
     return docs

@@ -6,6 +6,9 @@ towards its suffix, that towards all rows. The trigram model comes from all rows
 the priors from the grouped counts of what the text alone says. Beside the languages stands "und", under which all
 trigrams are alike: texts of no known language fall to it.
 
+Texts are read twice: for the model, and to be scored; what the text says is written beside the row then, and all
+that follows joins numbers. A hot host's rows are not joined in one task.
+
 Defined results: a null or letterless text has no text evidence; missing host, declaration or suffix are no evidence
 (null hosts share one prior); ties go to the language first in the list; repeated rows count each; without any
 declared row the text says nothing and the priors are even. An empty table gives an empty result.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, importable, materialize, sliced, table
+from .common import LOWER, join_by_key, materialize, ready, sliced, table
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 8192
@@ -69,14 +72,16 @@ def train(rows: DataFrame, languages: tuple[str, ...], markup: bool) -> np.ndarr
     return np.column_stack((known, np.full(BUCKETS, -np.log(BUCKETS))))
 
 
-def identify(docs: DataFrame, *, text: str | Column = "text", declared: str | Column = "lang", host: str | Column = "source", markup: bool = False, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """docs' rows as a struct row_, with lang_ (a language, or und), prob_ and accepted_ (a language, of LEAST_PROB at least).
-    host: an address's host name; its last part is the suffix, its last two parts the domain."""
+def identify(docs: DataFrame, *, text: str | Column = "text", declared: str | Column = "lang", host: str | Column = "source", markup: bool = False, languages: tuple[str, ...] = LANGUAGES, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs' rows (of the columns in keep; all without it) as a struct row_, with lang_ (a language, or und), prob_ and
+    accepted_ (a language, of LEAST_PROB at least). host: an address's host name; its last part is the suffix, its last
+    two parts the domain."""
     spark = docs.sparkSession
-    importable(spark)
+    ready(spark)
     col = lambda c: F.col(c) if isinstance(c, str) else c
     name = F.lower(F.coalesce(col(host).cast("string"), F.lit("")))
-    rows = docs.select(F.struct("*").alias("row_"), col(text).cast("string").alias("text"), F.lower(F.substring_index(col(declared).cast("string"), "-", 1)).alias("declared"), name.alias("host"))
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct("*")
+    rows = docs.select(kept.alias("row_"), col(text).cast("string").alias("text"), F.lower(F.substring_index(col(declared).cast("string"), "-", 1)).alias("declared"), name.alias("host"))
     rows = rows.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
     model = spark.sparkContext.broadcast(train(rows, languages, markup))
     classes = len(languages) + 1
@@ -89,11 +94,10 @@ def identify(docs: DataFrame, *, text: str | Column = "text", declared: str | Co
 
         return texts.map(one, na_action=None)
 
-    scored = rows.withColumn("says", text_evidence("text"))
+    scored = materialize(rows.withColumn("says", text_evidence("text")).drop("text"), "says")
     best = F.when(F.array_max("says") == F.array_min("says"), None).otherwise(F.array_position("says", F.array_max("says")) - 1)
-    said = materialize(scored.select("host", "domain", "suffix", best.alias("best")).where("best IS NOT NULL").groupBy("host", "domain", "suffix", "best").count(), "says")
-    hosts = _priors(said, classes)
-    hosts = materialize(hosts, "priors")
+    said = scored.select("host", "domain", "suffix", best.alias("best")).groupBy("host", "domain", "suffix", "best").count()
+    hosts = materialize(_priors(materialize(said, "counts"), classes), "priors")
     one_of = lambda right: [[np.log(right if k == d else (1 - right) / (classes - 1)) for k in range(classes)] for d in range(len(languages))]
     as_array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
 
@@ -106,7 +110,7 @@ def identify(docs: DataFrame, *, text: str | Column = "text", declared: str | Co
         return out
 
     even = as_array([-np.log(classes)] * classes)
-    joined = scored.join(hosts.select(F.col("host").alias("host_"), "prior"), F.col("host") == F.col("host_"), "left")
+    joined = join_by_key(scored, hosts, "host", "rows")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     total = add(add("says", F.coalesce("prior", even)), add(told("declared", {x: x for x in languages}, DECLARED_RIGHT), told("suffix", SUFFIX_LANGUAGE, SUFFIX_RIGHT)))
     fused = joined.select("row_", total.alias("total"))
@@ -117,8 +121,8 @@ def identify(docs: DataFrame, *, text: str | Column = "text", declared: str | Co
 
 
 def _priors(said: DataFrame, classes: int) -> DataFrame:
-    """host, prior (log, by class), each level smoothed towards the one above."""
-    wide = said.groupBy("host", "domain", "suffix").agg(*(F.sum(F.when(F.col("best") == k, F.col("count")).otherwise(0)).alias(f"c{k}") for k in range(classes)))
+    """host, prior (log, by class), rows, each level smoothed towards the one above."""
+    wide = said.groupBy("host", "domain", "suffix").agg(*(F.sum(F.when(F.col("best") == k, F.col("count")).otherwise(0)).alias(f"c{k}") for k in range(classes)), F.sum("count").alias("rows"))
     sums = [F.sum(f"c{k}").alias(f"c{k}") for k in range(classes)]
     every = wide.agg(*sums).first()
     counts = [float(x or 0) for x in every]
@@ -132,7 +136,7 @@ def _priors(said: DataFrame, classes: int) -> DataFrame:
     domain = wide.groupBy("domain", "suffix").agg(*sums).join(suffix, "suffix")
     domain = smooth(domain, "domain", [F.col(f"suffix_p{k}") for k in range(classes)]).select("domain", *(f"domain_p{k}" for k in range(classes)))
     host = smooth(wide.join(domain, "domain"), "host", [F.col(f"domain_p{k}") for k in range(classes)])
-    return host.select("host", F.array(*(F.log(f"host_p{k}") for k in range(classes))).alias("prior"))
+    return host.select("host", "rows", F.array(*(F.log(f"host_p{k}") for k in range(classes))).alias("prior"))
 
 
 def host_of(url: Column) -> Column:
@@ -148,5 +152,5 @@ def markup_language(html: Column) -> Column:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify(table(spark, sf_dir, "pages"), text="html", declared=markup_language(F.col("html")), host=host_of(F.col("url")), markup=True)
+    found = identify(table(spark, sf_dir, "pages"), text="html", declared=markup_language(F.col("html")), host=host_of(F.col("url")), markup=True, keep=("page_id",))
     return found.select("row_.page_id", F.col("lang_").alias("lang"), F.round("prob_", 6).alias("prob"), F.col("accepted_").alias("accepted"))

@@ -4,6 +4,7 @@ A payload is stored as the samples of an 8-bit mono WAV file, in a binary column
 from the bytes read back. Frames of FRAME samples, half overlapping, are transformed under a Hann window; in each
 band the strongest bin is a peak, and every peak is paired with the same frame's next band and with the next frame's
 peak of its band. A pair is stored as one number, time code first: frame << 24 | bin << 14 | other bin << 4 | pair.
+A file's pairs, ascending, are an array column of a written table of fingerprints.
 
 Defined results: a null or empty text has an empty payload, padded to one unit; silence still has peaks (the lowest
 bin of a band wins ties); repeated rows repeat; an empty table gives an empty result.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, materialize, sliced, table
+from .common import materialize, ready, sliced, table
 
 UNIT, FILL, RATE, FRAME = 576, 255, 8000, 576
 BANDS = ((1, 24), (24, 72), (72, 144), (144, 289))
@@ -69,7 +70,7 @@ def landmarks(samples: bytes, at_once: int = 2048) -> np.ndarray:
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes doc_id, n_bytes, media (WAV bytes) of each row and returns the written table."""
-    importable(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 500):
@@ -95,7 +96,11 @@ def describe(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, landmarks array<bigint>")
 
 
+def fingerprints(docs: DataFrame, **columns) -> DataFrame:
+    """Stores the media of docs, then what describe() reads from them, and returns the written table."""
+    return materialize(describe(store(docs, **columns)), "fingerprints")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = describe(store(table(spark, sf_dir, "documents")))
-    feature = F.concat(F.size("landmarks").cast("string"), F.lit(":"), F.sha2(F.array_join("landmarks", ","), 256))
-    return found.withColumn("feature", feature).drop("landmarks")
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumn("feature", F.concat(F.size("landmarks").cast("string"), F.lit(":"), F.sha2(F.array_join("landmarks", ","), 256)))

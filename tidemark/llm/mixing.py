@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import importable, materialize, table
+from .common import materialize, ready, table
 
 BLOCK, BIN_ROWS = 32, 8192
 NO_SOURCE = "\x00none"
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     order = F.xxhash64(id_col)
     slim = docs.select(named.alias("source_"), F.pmod(order, F.lit(bins)).alias("bin_"))
     counts = materialize(slim.groupBy("source_", "bin_").count(), "bins")
-    importable(spark)
+    ready(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = {s: n for batch in batches for s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)}

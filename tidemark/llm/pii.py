@@ -1,7 +1,8 @@
 """Operator 8, personal data behind disguises: an offset-preserving deobfuscation.
 
 Two transducers rewrite a text, each keeping for every written character the source characters that it came from. The
-first works on characters: homoglyphs, full-width forms and foreign digits become ASCII, invisible characters vanish.
+first works on characters: homoglyphs, full-width and other compatible forms and foreign digits become ASCII, invisible characters
+vanish.
 The second works on words: "(at)", "[dot]" and spaced "at ... dot ..." become @ and dots, runs of spelled digits become
 digits. The detectors run over the plain text and over the rewritten one, and spans of the latter are mapped back.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, sliced, table
+from .common import ready, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -107,19 +109,20 @@ def _plain(c: str) -> str:
         return HOMOGLYPHS[c]
     if 0xFF01 <= ord(c) <= 0xFF5E:  # full-width forms stand in ASCII's order
         return chr(ord(c) - 0xFEE0)
-    if ord(c) > 127 and unicodedata.category(c) == "Nd":
+    if unicodedata.category(c) == "Nd":
         return str(unicodedata.digit(c))
-    return c
+    like = unicodedata.normalize("NFKC", c)  # mathematical, circled and raised letters and digits, ligatures
+    return like if like.isascii() and like.isalnum() else c
 
 
 _FOREIGN = re.compile("[^\x00-\x7f]")
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 #: What follows a spaced "at": a name, and a dot in one of its forms.
-_HOST = r"(?=[A-Za-z0-9-]+(?:\s+(?:dot|\.)\s+[A-Za-z0-9-]+|\s*[\[({<]\s*dot|\.[A-Za-z0-9-]))"
+_HOST = r"(?=[A-Za-z0-9-]++(?:\s++(?:dot|\.)\s++[A-Za-z0-9-]|\s*+[\[({<]\s*+dot|\.[A-Za-z0-9-]))"
 _WORDS = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*)|(?P<dot>\s*[\[({{<]\s*(?:dot|point)\s*[\])}}>]\s*)"
-    rf"|(?P<spaced>(?<=[A-Za-z0-9._%+-])\s+(?:at|@)\s+{_HOST})"
-    rf"|(?P<near>(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
+    rf"(?P<at>(?<!\s)\s*+[\[({{<]\s*+at\s*+[\])}}>]\s*+)|(?P<dot>(?<!\s)\s*+[\[({{<]\s*+(?:dot|point)\s*+[\])}}>]\s*+)"
+    rf"|(?P<spaced>(?<=[A-Za-z0-9._%+-])\s++(?:at|@)\s++{_HOST})"
+    rf"|(?P<near>(?<=[A-Za-z0-9])\s++dot\s++(?=[A-Za-z0-9]))"
     rf"|(?P<digits>(?:\bplus[\s-]+)?\b{_DIGIT_WORD}(?:[\s,-]+(?:{_DIGIT_WORD}\b|[0-9]+))+)",
     re.I,
 )
@@ -195,12 +198,18 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not seen.changed.any() and len(seen.text) == len(text):
         return base, base
     every = list(base)
+    # spans of a kind come in ascending order, so one that holds a new one begins last before it, or reaches farthest
+    starts = {k: [x for kind, x, _ in base if kind == k] for k in KINDS}
+    ends = {k: [y for kind, _, y in base if kind == k] for k in KINDS}
+    reach = dict.fromkeys(KINDS, 0)
     for kind, a, b in detect(seen.text):
         start, end = int(seen.start[a]), int(seen.end[b - 1])
         within = seen.changed[a:b].any() or (seen.start[a + 1 : b] != seen.end[a : b - 1]).any()  # a vanished character lies in it
         edged = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
-        if within and not edged and not any(k == kind and x <= start and end <= y for k, x, y in every):
+        before = bisect_right(starts[kind], start) - 1
+        if within and not edged and end > reach[kind] and not (before >= 0 and ends[kind][before] >= end):
             every.append((kind, start, end))
+            reach[kind] = end
     return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -209,7 +218,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, base and spans (kind, start, end)."""
-    importable(docs.sparkSession)
+    ready(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

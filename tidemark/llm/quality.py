@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTES, importable, sliced, table
+from .common import LOWER, WORD_BYTES, ready, sliced, table
 
 BITS, RANK, MAX_ROWS = 15, 6, 6000
 CUT = 0.3
@@ -118,7 +118,7 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), max_rows: int = MAX_ROWS) -> Machine | None:
     """A machine from at most max_rows rows of labels (their features reach the driver, nothing else); None without rows."""
     spark = docs.sparkSession
-    importable(spark)
+    ready(spark)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.max(F.col(label_col).cast("int")).alias("label_"))
     sample = known.orderBy(F.xxhash64("id_"), "id_").limit(max_rows)
 
@@ -128,9 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             made = [features(t, list(zip(metadata, [m[k] for m in more], strict=True))) for k, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label, pa.int32()), pa.array([p.astype("<i4").tobytes() for p, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], ["id", "label", "place", "value"])
 
-    # the sample is bounded by max_rows pairs of numbers
+    # the sample is bounded by max_rows pairs of numbers; where ids repeat, the first rows in an order are taken
     chosen = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text"), *(F.col(m).cast("string").alias(f"m{k}_") for k, m in enumerate(metadata))).join(F.broadcast(sample), "id_")
-    rows = chosen.select("id_", "label_", "text", *(f"m{k}_" for k in range(len(metadata)))).mapInArrow(run, "id bigint, label int, place binary, value binary").limit(4 * max_rows).collect()
+    rows = chosen.select("id_", "label_", "text", *(f"m{k}_" for k in range(len(metadata)))).mapInArrow(run, "id bigint, label int, place binary, value binary").orderBy("id", "place", "value").limit(4 * max_rows).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["id"], bytes(r["place"]), bytes(r["value"])))
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, machine: Machine | None, *, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, score."""
     spark = docs.sparkSession
-    importable(spark)
+    ready(spark)
     held = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ bit. So each distinct fingerprint is indexed under every one-wildcard variant of
 variant makes a candidate, and the whole fingerprints are compared.
 
 The comparison runs over sorted runs of equal variants, vectorised, and yields a spanning forest of the links found,
-never all pairs. A run longer than RUN rows is dealt on: the 42 or 43 bits outside its segment are cut into 5 pieces,
+never all pairs. Above some 4 billion distinct fingerprints the mean run of a variant passes RUN, and most rows take the
+second deal too. A run longer than RUN rows is dealt on: the 42 or 43 bits outside its segment are cut into 5 pieces,
 of which one must be equal; a run that is long even then is compared block against block.
 
 Defined results: a null, empty or blank text has fingerprint 0 and links like any other; fewer than 4 words are one
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, importable, materialize, sliced, table
+from .common import LOWER, join_by_key, materialize, ready, sliced, table
 from .graph import connected_components
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -52,7 +53,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long); keyed: text_key too, the text's hash."""
-    importable(docs.sparkSession)
+    ready(docs.sparkSession)
     kept = ["doc_id", "text_key"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,20 +194,20 @@ def similar_links(distinct: DataFrame, run: int = RUN, block: int = BLOCK) -> Da
 
 
 def _members(made: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """fp, component (a fingerprint of it), component_id of each distinct fingerprint of made (doc_id, fp)."""
-    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    """fp, component (a fingerprint of it), component_id, rows of each distinct fingerprint of made (doc_id, fp)."""
+    distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "distinct")
     found = connected_components(similar_links(distinct.select("fp"), run, block))
     named = found.join(distinct, found.node == distinct.fp).select("fp", "component", "first_id")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = named.join(least, "component").select("fp", "component", "component_id")
-    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
+    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"), "rows")
     return materialize(every, "members")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, block: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, fp (long), component_id (smallest doc_id that links reach, itself included)."""
     made = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    return made.join(_members(made, run, block), "fp").select("doc_id", "fp", "component_id")
+    return join_by_key(made, _members(made, run, block), "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +218,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(F.struct("*").alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"))
     made = materialize(fingerprints(docs, id_col, text_col, keyed=True), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first")
-    kept = made.join(_members(made).select("fp", "component"), "fp").groupBy("component").agg(first)
+    kept = join_by_key(made, _members(made).select("fp", "component", "rows"), "fp", "rows").groupBy("component").agg(first)
     kept = materialize(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")), "kept")
     chosen = slim.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     if not made.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh_path, importable, sliced, table
+from .common import LOWER, fresh_path, ready, sliced, table
 
 DIGEST = 16
 END_ID = 1
@@ -287,7 +287,7 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
 def write_store(docs: DataFrame, root: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", order: tuple[Column, Column] | None = None) -> str:
     """Writes the three tables under root and returns it. order: two long columns; without it documents go in ascending id_col."""
-    importable(docs.sparkSession)
+    ready(docs.sparkSession)
     first, second = order or (F.col(id_col).cast("long"), F.lit(0).cast("long"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), first.cast("long").alias("ord1"), second.cast("long").alias("ord2"), F.col(text_col).alias("text"))
     made = slim.mapInArrow(lambda b: encode_partition(b, tokenizer), "kind int, digest binary, payload binary, doc_id bigint, ord1 bigint, ord2 bigint, n_tokens bigint, sizes binary, root binary")
