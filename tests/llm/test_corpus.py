@@ -171,6 +171,27 @@ def test_encoder_keeps_ids_when_its_tables_turn_over():
         assert [np.frombuffer(x, "<u4").tolist() for x in ours(texts)] == [e.ids for e in want]
 
 
+def test_encoder_looks_up_a_word_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    ours = tokenstore.Encoder(tokenstore.default_tokenizer())
+    texts = ["of, the And\nend. " * 500, "", ".of the, <|endoftext|> The, end", "<|", ", end,\n", "\n"] * 5
+    want = [e.ids for e in ours.library.encode_batch_fast(texts, add_special_tokens=False)]
+    ours.young = Counted()
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours(texts)] == want
+    assert Counted.asked < 100
+    assert ours([]) == []
+
+
 def test_pii_equals_plain_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     rng = random.Random(4)

@@ -45,7 +45,12 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONE_MARK = re.compile(r"(?<=[a-z])([,.])(?=[ \n])")
 #: Marks but the apostrophe, which can begin a word's ending for the tokenizer.
 _LAST_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?=[ \n])")
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Small letters of Latin-1 and the blank that ends a piece.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+ ")
+#: LOWER, and line ends as blanks.
+_LOWER_BLANKS = LOWER[:10] + b" " + LOWER[11:]
+_IS_LETTER = np.isin(np.arange(256), np.arange(97, 123))
+_IS_MARK = np.array([b in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 
 
 def digest(data: bytes) -> bytes:
@@ -131,20 +136,39 @@ class Encoder:
         return made
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Blanks and line ends part pieces; so does a letter before the marks that end a piece. The tokenizer lower-cases
-        all but its special tokens, so A-Z are lower-cased first where none can stand; where one can, only a lone comma
-        or full stop is parted."""
-        marks = _LONE_MARK
-        if "<|" not in text:
-            text, marks = text.encode().translate(LOWER).decode(), _LAST_MARKS
-        return marks.sub(r" \g<0>", text).replace("\n", " ").split(" ")
-
-    def _learn(self, new: list[str]) -> None:
+    def pieces(texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The pieces of texts, each with one blank after it, and the number of pieces up to the end of each text. Blanks
+        and line ends part pieces; so does a letter before the marks that end a piece. The tokenizer lower-cases all but
+        its special tokens, so A-Z are lower-cased first where none can stand; where one can, only a lone comma or full
+        stop is parted, beforehand, and nothing else."""
+        raw = [(t if "<|" not in t else _LONE_MARK.sub(r" \g<0>", t).replace("\n", " ")).encode() for t in texts]
+        odd = [k for k, t in enumerate(texts) if "<|" in t]
+        line = b" ".join([*raw, b""])
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        given = np.frombuffer(line.translate(_LOWER_BLANKS), np.uint8)
+        mark = _IS_MARK[given]  # the last byte is a blank
+        edge = np.flatnonzero(mark[1:] != mark[:-1]) + 1
+        edge = np.append(0, edge) if mark[0] else edge
+        first, after = edge[::2], edge[1::2]
+        parted = first[_IS_LETTER[given[first - 1]] & (given[after] == 32)]
+        if odd:
+            given = given.copy()
+            inside = np.zeros(len(raw), bool)
+            inside[odd] = True
+            parted = parted[~inside[np.searchsorted(ends, parted, "right")]]
+            for k in odd:
+                given[ends[k] - 1 - len(raw[k]) : ends[k] - 1] = np.frombuffer(raw[k], np.uint8)
+        blanks = np.flatnonzero(given == 32)
+        counts = np.searchsorted(blanks, ends) + np.searchsorted(parted, ends)
+        bytes_ = np.insert(given, parted, 32)
+        offsets = np.append(0, np.flatnonzero(bytes_ == 32) + 1)
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)]), counts
+
+    def _learn(self, new: list[bytes]) -> None:
         plain = [w for w in new if _PLAIN.fullmatch(w)] if self.plain else []
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.plain.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
             if len(ends) != len(some):
                 raise ValueError("the tokenizer's ids do not mark the ends of words")
@@ -153,7 +177,7 @@ class Encoder:
         rest = [w for w in new if w not in self.young] if plain else new
         for at in range(0, len(rest), 20_000):
             some = rest[at : at + 20_000]
-            self.young.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+            self.young.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, self.library.encode_batch_fast([w[:-1].decode() for w in some], add_special_tokens=False), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         return [np.frombuffer(x, self.kind).astype("<u4").tobytes() for x in self.packed(texts)]
@@ -161,18 +185,31 @@ class Encoder:
     def packed(self, texts: list[str | None]) -> list[bytes]:
         if not self.piecewise:
             return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        split = [self.pieces(t or "") for t in texts]
+        if not texts:
+            return []
+        pieces, counts = self.pieces([t or "" for t in texts])
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary
+        bounds = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
+        data = (distinct.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        words = [data[a:b] for a, b in zip(bounds, bounds[1:])]
         if len(self.young) > self.held:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for word in set().union(*split).difference(young):
-            if (known := old.get(word)) is None:
-                new.append(word)
+        young, old = self.young, self.old
+        ids = list(map(young.get, words))
+        absent, new = [k for k, x in enumerate(ids) if x is None], []
+        for k in absent:
+            if (known := old.get(words[k])) is None:
+                new.append(words[k])
             else:
-                young[word] = known
+                young[words[k]] = known
         self._learn(new)
-        get = young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for k in absent:
+            ids[k] = young[words[k]]
+        found = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset + np.append(0, counts)].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
@@ -216,7 +253,7 @@ def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
     fields = [("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("ord1", pa.int64()), ("ord2", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("root", pa.binary())]
     schema = pa.schema(fields)
     end = np.array([END_ID], encoder.kind).tobytes()
-    for batch in sliced(batches, 500):
+    for batch in sliced(batches, 2000):
         doc_ids, ord1, ord2, texts = (batch.column(k).to_pylist() for k in range(4))
         streams = [x + end for x in encoder.packed(texts)]
         starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in streams])))
