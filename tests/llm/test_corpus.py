@@ -1,11 +1,13 @@
 """The corpus operators against brute force, and their defined edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -192,6 +194,49 @@ def test_encoder_looks_up_a_word_once_a_batch():
     assert ours([]) == []
 
 
+def test_encoding_holds_little_at_a_time(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenstore.default_tokenizer()
+    library, rng, asked, cut, plain_cuts = Tokenizer.from_file(path), random.Random(9), [], [], tokenstore.cuts
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    encoder = tokenstore.Encoder(path)
+    encoder.library = Watched()
+    monkeypatch.setattr(tokenstore, "encoder_of", lambda path: encoder)
+    monkeypatch.setattr(tokenstore, "cuts", lambda ids, starts: cut.append(len(starts) - 1) or plain_cuts(ids, starts))
+    texts = [" ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randrange(20))) + " end" * rng.choice([0, 0, 900]) for _ in range(1200)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    made = list(tokenstore.encode_partition(iter([pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], ["doc_id", "ord1", "ord2", "text"])]), path))
+    assert sum(asked) > 5000
+    assert max(asked) <= 2000
+    assert sum(cut) == len(texts)
+    assert max(cut) <= 250
+    rows = [r for b in made for r in b.to_pylist()]
+    payload = {r["digest"]: r["payload"] for r in rows if r["kind"] == 1}
+    got = {r["doc_id"]: b"".join(payload[r["payload"][k : k + 16]] for k in range(0, len(r["payload"]), 16)) for r in rows if r["kind"] == 0}
+    assert got == {k: np.array([*e.ids, 1], "<u2").tobytes() for k, e in enumerate(library.encode_batch_fast(texts, add_special_tokens=False))}
+    assert sum(r["n_tokens"] for r in rows if r["kind"] == 0) == sum(len(x) // 2 for x in got.values())
+
+
+def test_a_worker_encodes_on_its_own_core(spark):
+    path = tokenstore.default_tokenizer()
+
+    def threads(batches):
+        for b in batches:
+            before = len(os.listdir("/proc/self/task"))
+            encoder = tokenstore.encoder_of(path)
+            encoder([" ".join(f"{k}é{n}" for k in range(4000)) for n in range(3)])
+            yield pa.RecordBatch.from_arrays([pa.array([len(os.listdir("/proc/self/task")) - before], pa.int64())], ["more"])
+
+    tokenstore.ready(spark)
+    assert spark.range(1).mapInArrow(threads, "more long").first()["more"] == 0
+
+
 def test_pii_equals_plain_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     rng = random.Random(4)

@@ -22,6 +22,7 @@ sorts first; equal order values keep rows together, in the order of their conten
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,8 @@ DIGEST = 16
 END_ID = 1
 #: Ids that the rolling hash covers; a cut is where its upper bits under MASK are 0.
 ROLL, MASK, LEAST, MOST = 16, 255, 64, 2048
+#: Texts whose pieces are looked up together, documents cut together, pieces given to the library at once: a worker's memory.
+TOGETHER, CUT_TOGETHER, NEW_TOGETHER = 2000, 250, 2000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LONE_MARK = re.compile(r"(?<=[a-z])([,.])(?=[ \n])")
 #: Marks but the apostrophe, which can begin a word's ending for the tokenizer.
@@ -166,8 +169,8 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         plain = [w for w in new if _PLAIN.fullmatch(w)] if self.plain else []
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+        for at in range(0, len(plain), NEW_TOGETHER):
+            some = plain[at : at + NEW_TOGETHER]
             ids = np.array(self.plain.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = (np.flatnonzero(self.ends[ids]) + 1) * self.width
             if len(ends) != len(some):
@@ -175,8 +178,8 @@ class Encoder:
             raw, ends = ids.astype(self.kind).tobytes(), ends.tolist()
             self.young.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))
         rest = [w for w in new if w not in self.young] if plain else new
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
+        for at in range(0, len(rest), NEW_TOGETHER):
+            some = rest[at : at + NEW_TOGETHER]
             self.young.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, self.library.encode_batch_fast([w[:-1].decode() for w in some], add_special_tokens=False), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -243,7 +246,9 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One encoder in a worker: the pieces known from one task serve the next."""
+    """One encoder in a worker: the pieces known from one task serve the next. The library stays on the task's core, unless
+    a user has said otherwise: its threads' heaps would stay with the worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
@@ -253,28 +258,30 @@ def encode_partition(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[p
     fields = [("kind", pa.int32()), ("digest", pa.binary()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("ord1", pa.int64()), ("ord2", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("root", pa.binary())]
     schema = pa.schema(fields)
     end = np.array([END_ID], encoder.kind).tobytes()
-    for batch in sliced(batches, 2000):
+    for batch in sliced(batches, TOGETHER):
         doc_ids, ord1, ord2, texts = (batch.column(k).to_pylist() for k in range(4))
-        streams = [x + end for x in encoder.packed(texts)]
-        starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in streams])))
-        packed = b"".join(streams)
-        ids = np.frombuffer(packed, encoder.kind)
-        rows = []
-        for doc, ends in enumerate(cuts(ids, starts)):
-            names, last = [], int(starts[doc])
-            sizes = np.diff([last, *ends]).astype("<u4").tobytes()
-            for stop in ends:
-                payload = packed[last * encoder.width : stop * encoder.width]
-                name, last = digest(payload), stop
-                names.append(name)
-                if name not in given:
-                    if len(given) > 100_000:
-                        given.clear()
-                    given.add(name)
-                    rows.append((1, name, payload, None, None, None, None, None, None))
-            own = digest(repr((doc_ids[doc], ord1[doc], ord2[doc])).encode())  # deals recipes out evenly
-            rows.append((0, own, b"".join(names), doc_ids[doc], ord1[doc], ord2[doc], int(starts[doc + 1] - starts[doc]), sizes, merkle(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        streams = encoder.packed(texts)
+        for low in range(0, len(streams), CUT_TOGETHER):
+            some = [x + end for x in streams[low : low + CUT_TOGETHER]]
+            starts = np.concatenate(([0], np.cumsum([len(x) // encoder.width for x in some])))
+            packed = b"".join(some)
+            rows = []
+            for k, ends in enumerate(cuts(np.frombuffer(packed, encoder.kind), starts)):
+                doc, names, last = low + k, [], int(starts[k])
+                sizes = np.diff([last, *ends]).astype("<u4").tobytes()
+                for stop in ends:
+                    payload = packed[last * encoder.width : stop * encoder.width]
+                    name, last = digest(payload), stop
+                    names.append(name)
+                    if name not in given:
+                        if len(given) > 100_000:
+                            given.clear()
+                        given.add(name)
+                        rows.append((1, name, payload, None, None, None, None, None, None))
+                own = digest(repr((doc_ids[doc], ord1[doc], ord2[doc])).encode())  # deals recipes out evenly
+                rows.append((0, own, b"".join(names), doc_ids[doc], ord1[doc], ord2[doc], int(starts[k + 1] - starts[k]), sizes, merkle(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    pa.default_memory_pool().release_unused()  # a worker idles beside the stages that follow
 
 
 def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
