@@ -49,7 +49,10 @@ def _graph(events: DataFrame, parents: DataFrame, *more: str) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("entity").sortWithinPartitions("entity")
+    """Rows with each entity in one partition, in a run. By a hash of the entity, not the entity: of a union whose parts
+    are dealt by entity already, Spark leaves a shuffle by the same column out, and then joins partitions of each part
+    into larger ones (AQE) on its own, which parts an entity's rows."""
+    return rows.repartition(F.xxhash64("entity")).sortWithinPartitions("entity")
 
 
 def _run(rows: DataFrame, kernel, schema: T.StructType) -> DataFrame:
