@@ -84,3 +84,22 @@ def test_pages_cover_all_rows(spark):
             got += [tuple(r) for r in page]
             last = page[-1].asDict()
         assert got == whole
+
+
+def test_places_in_an_order(spark):
+    df = spark.range(0, 2000, 1, 7).selectExpr("id AS k", "CASE WHEN id % 3 > 0 THEN id % 10 END AS a", "id % 2 AS `b c`")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = C.numbered(df, "ORDER BY a DESC", "k", ["k", "b c"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.rdd.getNumPartitions() > 1
+    wanted = sorted(range(2000), key=lambda k: (-(k % 10) if k % 3 else -99, k))
+    assert sorted((r.place, r.k, r["b c"]) for r in got.collect()) == [(n, k, k % 2) for n, k in enumerate(wanted, 1)]
+    assert C.numbered(df.limit(0), "", "k", ["k"]).collect() == []
+
+
+def test_places_of_a_whole_table_take_no_single_task(spark):
+    from tidemark.queries import QUERIES
+
+    assert "Exchange SinglePartition" not in QUERIES["order_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

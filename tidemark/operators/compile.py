@@ -305,16 +305,20 @@ def json_order(at: Column) -> list[Column]:
     return [rank, F.when(kind == "bool", of["bool"].cast("int")), F.when(kind == "whole", of["whole"]), F.when(kind == "number", of["number"]), F.when(kind == "text", of["text"]).when(rank == 5, F.to_json(at))]
 
 
-def ordering(df: DataFrame, selection: S.Selection, key: str | None) -> list[Column]:
-    """Nulls first both ways; ties, and selections without an order, by the key. Columns that do not exist are left out."""
+def _order(df: DataFrame, selection: S.Selection, key: str | None) -> list[tuple[Column, bool]]:
+    """What rows are ordered by, and whether it descends."""
     types, made = {f.name: f.dataType for f in df.schema}, []
     named = [(key if o.column == "id" and "id" not in types and key else o.column, o.descending) for o in selection.order]
     for column, descending in named:
         if column in types:
             at = F.col(f"`{column}`")
-            parts = json_order(at) if isinstance(types[column], T.VariantType) else [at]
-            made += [p.desc_nulls_first() if descending else p.asc_nulls_first() for p in parts]
-    return made + ([F.col(f"`{key}`").asc_nulls_first()] if key and all(c != key for c, _ in named) else [])
+            made += [(p, descending) for p in (json_order(at) if isinstance(types[column], T.VariantType) else [at])]
+    return made + ([(F.col(f"`{key}`"), False)] if key and all(c != key for c, _ in named) else [])
+
+
+def ordering(df: DataFrame, selection: S.Selection, key: str | None) -> list[Column]:
+    """Nulls first both ways; ties, and selections without an order, by the key. Columns that do not exist are left out."""
+    return [c.desc_nulls_first() if descending else c.asc_nulls_first() for c, descending in _order(df, selection, key)]
 
 
 def take(df: DataFrame, count: int) -> DataFrame:
@@ -337,6 +341,26 @@ def take(df: DataFrame, count: int) -> DataFrame:
     return kept.where(place < allowed)
 
 
+def numbered(df: DataFrame, what: str | S.Selection, key: str, columns: list[str]) -> DataFrame:
+    """columns of df and the place of each row in a selection's order, from 1. Rows are sorted by ranges of the order,
+    one for a task, and counted by partition; of these only the sizes reach the driver."""
+    from tidemark.sources.tables import ensure_checkpoints
+
+    ensure_checkpoints(df.sparkSession)
+    order = _order(df, S.parse(what) if isinstance(what, str) else what, key)
+    # made before the sort, which would make them again for each comparison
+    wide = df.select(*(f"`{c}`" for c in columns), *(c.alias(f"order {n}") for n, (c, _) in enumerate(order)))
+    by = [F.col(f"`order {n}`") for n in range(len(order))]
+    kept = wide.orderBy(*(c.desc_nulls_first() if descending else c.asc_nulls_first() for c, (_, descending) in zip(by, order, strict=True))).select(*(f"`{c}`" for c in columns)).checkpoint()
+    part = F.spark_partition_id()
+    sizes, starts = dict(kept.groupBy(part).count().collect()), [0]
+    for number in range(max(sizes, default=0)):
+        starts.append(starts[-1] + sizes.get(number, 0))
+    before = F.array(*(F.lit(n).cast("long") for n in starts))[part]
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("place", before + within + 1)
+
+
 def select(df: DataFrame, what: str | S.Selection, *, name: str | None = None, key: str | None = None) -> DataFrame:
     """Rows of df that a selection takes, in its order, up to its limit. Without an order rows go by the key where a
     limit makes the order matter."""

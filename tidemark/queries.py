@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import casts
 from tidemark.functions import text as edits
 from tidemark.operators import eventlog
-from tidemark.operators.compile import Compiler, marked, ordering, resolve, select
+from tidemark.operators.compile import Compiler, marked, numbered, ordering, resolve, select
 from tidemark.operators.policy import EVERYTHING, PRIVILEGED, AccessDenied, Policy, Rules, Scope
 from tidemark.plans import selection as S
 from tidemark.sources.catalog import Catalog
@@ -253,13 +253,9 @@ _add("resolve_literals", _resolved, f"SELECT {_O} FROM orders WHERE o_custkey =
 # --- order and pages
 
 
-def _placed(df, order, columns):
-    return df.select(*columns, F.row_number().over(W.orderBy(*order)).cast("long").alias("place"))
-
-
 def _nulls_first(spark, d):
     df, chosen = _labelled(spark, d), S.parse("ORDER BY quality DESC, lang LIMIT 500")
-    return _placed(select(df, chosen, key="doc_id"), ordering(df, chosen, "doc_id"), ["doc_id", "quality", "lang"])
+    return numbered(select(df, chosen, key="doc_id"), chosen, "doc_id", ["doc_id", "quality", "lang"])
 
 
 _add("order_nulls_first", _nulls_first, f"SELECT * FROM (SELECT doc_id, quality, lang, row_number() OVER (ORDER BY quality DESC NULLS FIRST, lang NULLS FIRST, doc_id) AS place FROM ({_LABELLED})) WHERE place <= 500")
@@ -268,7 +264,7 @@ _MIXED = """CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN
 
 def _json_order(spark, d):
     df = table(spark, d, "events").selectExpr("event_id", f"parse_json({_MIXED.format(text='STRING')}) AS v")
-    return _placed(df, ordering(df, S.parse("ORDER BY v"), "event_id"), ["event_id"])
+    return numbered(df, "ORDER BY v", "event_id", ["event_id"])
 
 
 _add("order_json", _json_order, """SELECT event_id, row_number() OVER (ORDER BY CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 5 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END, CASE event_id % 6 WHEN 1 THEN 1 WHEN 5 THEN 0 END,
