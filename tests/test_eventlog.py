@@ -164,6 +164,16 @@ def test_chunks_hold_whole_entities():
     assert sum(len(set(t)) for t in made) == 7
 
 
+def test_chunks_stay_small():
+    import numpy as np
+    import pyarrow as pa
+
+    batches = (pa.RecordBatch.from_pydict({"entity": np.arange(k, k + 10_000) // 70}) for k in range(0, 300_000, 10_000))
+    sizes = [len(t) for t in dag.chunks(batches)]
+    assert sum(sizes) == 300_000
+    assert max(sizes) <= 60_000
+
+
 def test_texts_written_side_by_side(spark):
     edits = "entity long, event string, property string, seq int, at int, removed int, inserted string"
     rows = [(1, "a", "t", 0, 0, 0, "hello"), (1, "b", "t", 0, 5, 0, " world"), (1, "c", "t", 0, 0, 1, "J"), (1, "d", "t", 0, 11, 0, "!"), (2, "a", "t", 0, 0, 0, "abc"), (2, "b", "t", 0, 1, 1, "XY"), (2, "b", "t", 1, 99, 0, "."), (3, "a", "t", 0, 0, 0, "ab"), (3, "b", "t", 0, 1, 0, "11"), (3, "c", "t", 0, 1, 0, "22"), (3, "d", "t", 0, 0, 2, None)]

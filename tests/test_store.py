@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.policy import PRIVILEGED, AccessDenied, Permissive, Policy, Rules, Scope
 from tidemark.plans import selection as S
 from tidemark.sources.catalog import Catalog, RegistrationError
-from tidemark.sources.collection import Model, Property
+from tidemark.sources.collection import EVENTS, Model, Property
 from tidemark.sources.context import Context, NotFound, UnknownCollection, nocache
 from tidemark.streaming import live
 from tidemark.streaming.signals import Calculated, Signal
@@ -81,6 +81,14 @@ def test_states_survive_compaction_and_repeated_events(spark, context):
     assert own.states().count() == own.events().count() == 0
 
 
+def test_an_empty_collection_is_made_without_python(context):
+    album = context.collections["album"]
+    for empty, schema in ((album.states(), album.schema), (album.events(), EVENTS)):
+        assert "ExistingRDD" not in empty._jdf.queryExecution().executedPlan().toString()
+        assert [(f.name, f.dataType) for f in empty.schema] == [(f.name, f.dataType) for f in schema]
+        assert empty.collect() == []
+
+
 def test_result_sets_are_kept_by_version(context):
     ids = put(context, a={"year": 1}, b={"year": 2})
     first = context.results("album", "year > 0 ORDER BY year")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from tidemark.errors import EngineError
 
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 50_000
 
 
 class CycleError(EngineError, ValueError):

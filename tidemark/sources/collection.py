@@ -111,6 +111,11 @@ def fold(events: DataFrame, model: Model) -> DataFrame:
     return states.select(F.col("entity").alias("id"), "head", "models", *(f"`{p}`" for p in model.properties))
 
 
+def _none(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows; createDataFrame([]) would start Python workers on the executors to make them."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, model: Model):
         self.spark, self.path, self.model = spark, path.rstrip("/"), model
@@ -125,7 +130,7 @@ class Collection:
     def _raw(self) -> DataFrame:
         path = f"{self.path}/events"
         if not folders.exists(self.spark, path):
-            return self.spark.createDataFrame([], EVENTS)
+            return _none(self.spark, EVENTS)
         return self.spark.read.schema(EVENTS).parquet(path)
 
     @staticmethod
@@ -161,7 +166,7 @@ class Collection:
         wide = T.StructType([*self.schema.fields, T.StructField("version", T.LongType())])
         parts = [self.spark.read.schema(wide).option("basePath", f"{self.path}/{of}").parquet(*(f"{self.path}/{of}/version={v}" for v in some)) for of, some in (("base", [base] if base else []), ("states", later)) if some]
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
+            return _none(self.spark, self.schema)
         if len(parts) == 1 and (base or len(later) == 1):
             return parts[0].drop("version")
         every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
